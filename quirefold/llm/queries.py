@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import exact_dedup, mixing
-from quirefold.llm.common import documents
+from quirefold.llm import exact_dedup, mixing, quality
+from quirefold.llm.common import documents, keep, remainder
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,15 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup}
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels of rows whose crc32(doc_id) mod 3 is 1 are never seen."""
+    x = keep(quality.features(documents(spark, sf_dir), "doc_id", "text"))
+    rows = quality.labelled(x, documents(spark, sf_dir, "labels"), keep_in=lambda c: remainder(F.col(c), 3) != 1)
+    s = quality.scored(x, quality.fit(rows))
+    return s.select(F.col("id").alias("doc_id"), (remainder(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
 ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL}
