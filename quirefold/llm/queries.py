@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import exact_dedup, mixing, quality
+from quirefold.llm import chat, exact_dedup, media, mixing, quality
 from quirefold.llm.common import documents, keep, remainder
 
+#: Where the public tokenizers' files are; their path is a parameter of the operators.
+TOKENIZERS = "/opt/tokenizers"
+TOKENS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 5, 2, 1 in turn, three epochs at most."""
@@ -66,5 +70,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), (remainder(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as Matroska audio and read back."""
+    return media.summary(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str, vocabulary: str | None = TOKENS) -> DataFrame:
+    """All conversations and one that quotes control strings, formatted in windows and read back."""
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.summary(chat.windows(rows, vocabulary=vocabulary))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat}
 ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL}
