@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, exact_dedup, media, mixing, quality
+from quirefold.llm import chat, exact_dedup, media, mixing, quality, warc
 from quirefold.llm.common import documents, keep, remainder
 
 #: Where the public tokenizers' files are; their path is a parameter of the operators.
@@ -83,5 +83,19 @@ def op9_chat(spark: SparkSession, sf_dir: str, vocabulary: str | None = TOKENS)
     return chat.summary(chat.windows(rows, vocabulary=vocabulary))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat}
-ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, read back and merged into one index."""
+    return warc.histories(documents(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p
+), g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to FROM g
+"""
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc}
+ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL}
