@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, exact_dedup, media, mixing, quality, warc
+from quirefold.llm import chat, exact_dedup, media, mixing, near_dedup, quality, warc
 from quirefold.llm.common import documents, keep, remainder
 
 #: Where the public tokenizers' files are; their path is a parameter of the operators.
@@ -97,5 +97,29 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
 """
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc}
-ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL}
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by their two-word shingles."""
+    g = near_dedup.groups(documents(spark, sf_dir), k=2)
+    return g.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept"))
+
+
+OP6_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                 ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), l AS (SELECT a, b FROM c WHERE 100 * common >= 80 * (na + nb - common)
+), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id
+), m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id
+"""
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup}
+ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL, "op6_near_dedup": OP6_SQL}
