@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, exact_dedup, media, mixing, near_dedup, quality, warc
+from quirefold.llm import chat, exact_dedup, media, mixing, near_dedup, quality, substring_dedup, warc
 from quirefold.llm.common import documents, keep, remainder
 
 #: Where the public tokenizers' files are; their path is a parameter of the operators.
@@ -121,5 +121,28 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = componen
 """
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup}
-ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL, "op6_near_dedup": OP6_SQL}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of passages of 35 words that also start elsewhere."""
+    return substring_dedup.removed(documents(spark, sf_dir), length=35).withColumnRenamed("id", "doc_id")
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d
+), w AS (
+  SELECT p.r, p.i, word, CASE WHEN p.i + 34 <= len(ws) THEN md5(array_to_string(ws[p.i:p.i + 34], ' ')) END AS h FROM p JOIN d ON p.r = d.r
+), c AS (
+  SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS again FROM w
+), m AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c
+), k AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup, "op7_substring_dedup": op7_substring_dedup}
+ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
