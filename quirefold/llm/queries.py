@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, exact_dedup, media, mixing, near_dedup, quality, substring_dedup, warc
+from quirefold.llm import chat, exact_dedup, lm_score, media, mixing, near_dedup, quality, substring_dedup, warc
 from quirefold.llm.common import documents, keep, remainder
 
 #: Where the public tokenizers' files are; their path is a parameter of the operators.
@@ -144,5 +144,11 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_r
 """
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup, "op7_substring_dedup": op7_substring_dedup}
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by models of those whose crc32(doc_id) mod 5 is not 1."""
+    s = lm_score.scored(documents(spark, sf_dir), remainder(F.col("doc_id"), 5) != 1)
+    return s.select(F.col("id").alias("doc_id"), (remainder(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup, "op7_substring_dedup": op7_substring_dedup, "op4_lm_score": op4_lm_score}
 ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
