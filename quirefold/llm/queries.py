@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, exact_dedup, lm_score, media, mixing, near_dedup, quality, substring_dedup, warc
+from quirefold.llm import chat, exact_dedup, lm_score, media, mixing, near_dedup, pieces, quality, substring_dedup, warc
 from quirefold.llm.common import documents, keep, remainder
 
 #: Where the public tokenizers' files are; their path is a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
 TOKENS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,5 +151,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), (remainder(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup, "op7_substring_dedup": op7_substring_dedup, "op4_lm_score": op4_lm_score}
+def op2_pieces(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    return pieces.summary(documents(spark, sf_dir), model_file).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality, "op3_media": op3_media, "op9_chat": op9_chat, "op5_warc": op5_warc, "op6_near_dedup": op6_near_dedup, "op7_substring_dedup": op7_substring_dedup, "op4_lm_score": op4_lm_score, "op2_pieces": op2_pieces}
 ORACLES = {"op1_mixing": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op5_warc": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
