@@ -3,10 +3,378 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quirefold.functions import scalars as S
+from quirefold.operators import layout, structure
+from quirefold.plans import oracles as O
+from quirefold.sources import html, synthetic, text
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.pages(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.without_running_heads(_pages(spark, sf_dir))
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Sections of every document with their titles and sizes."""
+    return structure.sections(structure.blocks(_lines(spark, sf_dir)))
+
+
+# lines and their flags
+
+
+@query(O.query("SELECT doc_id, line_no, text, x FROM lines", O.LINES))
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text", "x")
+
+
+@query(O.query("SELECT doc_id, line_no, blank_before, blank_after, page_start, page_end FROM lines", O.LINES))
+def line_layout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "blank_before", "blank_after", "page_start", "page_end")
+
+
+@query(O.query("SELECT doc_id, line_no, " + O.NORM + " AS norm FROM lines", O.LINES))
+def line_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), S.normalize(F.col("text")).alias("norm"))
+
+
+@query(O.query("SELECT doc_id, body_size, body_margin, median_width FROM stats", O.PAGES, O.STATS.format(of="lines")))
+def body_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.body_stats(_pages(spark, sf_dir)).select("doc_id", "body_size", "body_margin", F.col("median_width").cast("double").alias("median_width"))
+
+
+@query(O.query("SELECT volume, page_number, line_no, text, top, bottom FROM zones", O.LINES.replace("lines AS (", "flat AS ("), "lines AS (SELECT doc_id AS page, source AS volume, source AS doc_id, doc_id AS page_number, line_no, text, y, page_height FROM flat)", O.ZONES))
+def margin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as volumes, documents as their pages."""
+    docs = table(spark, sf_dir, "documents")
+    lines = text.lines(docs.select(F.col("doc_id").alias("page"), F.struct("source", F.col("doc_id").alias("page")).alias("doc_id"), "text"))
+    lines = lines.withColumn("page_number", F.col("doc_id.page")).withColumn("doc_id", F.col("doc_id.source"))
+    return structure.margin_candidates(lines).select(F.col("doc_id").alias("volume"), "page_number", F.col("line_no").cast("long").alias("line_no"), "text", "top", "bottom")
+
+
+@query(O.query("SELECT doc_id, norm, seen, threshold, norm <> '' AND pages >= 3 AND seen >= threshold AS repeated FROM heads", O.PAGES, O.ZONES, O.HEADS))
+def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.running_heads(_pages(spark, sf_dir)).select("doc_id", "norm", "seen", F.col("threshold").cast("long").alias("threshold"), "repeated")
+
+
+@query(O.query("SELECT doc_id, page_number, line_no, text FROM cleaned", O.PAGES, O.ZONES, O.HEADS))
+def strip_running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(spark, sf_dir).select("doc_id", "page_number", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+# headings, paragraphs, sections
+
+
+@query(O.query("SELECT doc_id, line_no, is_heading FROM kinds", O.LINES, O.kinds("lines")))
+def heading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.heading_flags(_lines(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_heading")
+
+
+@query(O.query("SELECT doc_id, page_number, line_no, is_heading FROM kinds", O.PAGES, O.ZONES, O.HEADS, O.kinds("cleaned")))
+def heading_flags_geom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.heading_flags(_body(spark, sf_dir)).select("doc_id", "page_number", F.col("line_no").cast("long").alias("line_no"), "is_heading")
+
+
+@query(O.query("SELECT doc_id, line_no, kind = 'subtitle' AS is_subtitle FROM kinds", O.LINES, O.kinds("lines")))
+def subtitle_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.kinds(_lines(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), (F.col("kind") == "subtitle").alias("is_subtitle"))
+
+
+@query(O.query("SELECT doc_id, line_no, kind, begins FROM kinds", O.LINES, O.kinds("lines")))
+def paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.kinds(_lines(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind", "begins")
+
+
+@query(O.query("SELECT doc_id, lines, length(text)::BIGINT AS characters, md5(text) AS text_md5 FROM blocks", O.LINES, "kinds AS (SELECT *, 'all' AS kind, line_no = 1 AS begins FROM lines)", O.JOINED))
+def line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = structure.joined(_lines(spark, sf_dir), ["doc_id"], ["page_number", "line_no"])
+    return j.select("doc_id", "lines", F.length("text").cast("long").alias("characters"), F.md5("text").alias("text_md5"))
+
+
+@query(O.query("SELECT doc_id, block_no, kind, text, page_number, lines FROM blocks", O.LINES, O.kinds("lines"), O.JOINED))
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.blocks(_lines(spark, sf_dir))
+
+
+@query(O.query("SELECT doc_id, block_no, kind, text, page_number, lines FROM blocks", O.PAGES, O.ZONES, O.HEADS, O.kinds("cleaned"), O.JOINED))
+def blocks_geom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.blocks(_body(spark, sf_dir))
+
+
+@query(O.query("SELECT * FROM sections", O.PAGES, O.ZONES, O.HEADS, O.kinds("cleaned"), O.JOINED, O.SECTIONS))
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.sections(structure.blocks(_body(spark, sf_dir)))
+
+
+@query(O.query("SELECT doc_id, section_no, title, 'text/' || navigation_id || '.xhtml' || CASE WHEN starts_with(navigation_id, 'chapter') THEN '#' || navigation_id ELSE '' END AS href FROM sections", O.PAGES, O.ZONES, O.HEADS, O.kinds("cleaned"), O.JOINED, O.SECTIONS))
+def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the table of contents; only sections with a heading have an anchor."""
+    s = structure.sections(structure.blocks(_body(spark, sf_dir)))
+    anchor = F.when(F.col("navigation_id").startswith("chapter"), F.concat(F.lit("#"), "navigation_id")).otherwise("")
+    return s.select("doc_id", "section_no", "title", F.concat("filename", anchor).alias("href"))
+
+
+@query(O.query("SELECT doc_id, greatest(1, count(*) FILTER (NOT is_preface))::BIGINT AS chapter_count FROM sections GROUP BY 1", O.LINES, O.kinds("lines"), O.JOINED, O.SECTIONS))
+def chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline(spark, sf_dir).groupBy("doc_id").agg(F.greatest(F.lit(1), F.count_if(~F.col("is_preface"))).cast("long").alias("chapter_count"))
+
+
+@query("""
+SELECT doc_id, coalesce(nullif(trim(source), ''), 'Untitled') AS title, CASE WHEN regexp_matches(trim(lang), '^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$') THEN trim(lang) ELSE 'und' END AS language,
+       coalesce(trim(lang), '') <> '' AND NOT regexp_matches(trim(lang), '^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$') AS warned FROM documents""")
+def metadata_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Override, then source value, then fallback; invalid languages fall back with a warning."""
+    from quirefold.operators import metadata
+
+    return metadata.resolve(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("language")), fallback="Untitled").select("doc_id", "title", "language", F.col("warning").isNotNull().alias("warned"))
+
+
+@query("SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE 'eng' END AS ocr_language FROM documents")
+def ocr_language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.operators import metadata
+
+    return metadata.ocr_language(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang").select("doc_id", "lang", "ocr_language")
+
+
+# layout
+
+
+@query(O.query("SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no)::BIGINT AS line_no, text, x, y, font_size, gap_before, page_start, page_end FROM lines", O.PAGES.replace("t <> ''", "t <> ''").replace("regexp_replace(s, '^\\s+|\\s+$', '', 'g')", "trim(regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), ' +', ' ', 'g'))")))
+def word_fragments_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words placed by the synthetic geometry, joined again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", " +", " ").alias("text"), "source")
+    got = layout.fragments_to_lines(synthetic.fragments(synthetic.pages(docs)))
+    return got.select("doc_id", "page_number", F.col("line_no").cast("long").alias("line_no"), "text", "x", "y", "font_size", "gap_before", "page_start", "page_end")
+
+
+_OCR = r"""
+turns AS (SELECT conv_id AS doc_id, turn AS block, unnest(ls) AS r, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations)),
+split AS (SELECT doc_id, block, line, list_filter(string_split(r, ' '), lambda w: w <> '') AS ws FROM turns),
+words AS (SELECT doc_id, block, line, unnest(ws) AS text, unnest(range(1, len(ws) + 1)) AS n, unnest(list_transform(range(1, len(ws) + 1), lambda k: list_sum(list_transform(ws[1:k - 1], lambda w: length(w) + 1)))) AS o FROM split),
+sure AS (SELECT *, coalesce(o, 0) * 6 AS l, length(text) * 6 AS w, line * 14 AS t FROM words WHERE (block * 37 + n * 17) % 101 >= 30 AND regexp_matches(text, '[\p{L}\p{N}]')),
+grouped AS (SELECT doc_id, block, line, string_agg(text, ' ' ORDER BY l, n) AS text, min(l)::DOUBLE AS x, max(l + w) AS r, min(t) AS t, max(t + 12) AS b FROM sure GROUP BY 1, 2, 3),
+spaced AS (SELECT *, t - lag(b) OVER o AS gap, lead(t) OVER o - b AS gap_after, lag(block) OVER o AS pb, lead(block) OVER o AS nb, row_number() OVER o AS line_no FROM grouped WINDOW o AS (PARTITION BY doc_id ORDER BY block, line))"""
+
+
+@query(O.query("SELECT doc_id, line_no, text, x, (792.0 - b)::DOUBLE AS y, gap::DOUBLE AS gap_before, coalesce(pb <> block, true) OR coalesce(gap > 19.2, false) AS blank_before, coalesce(nb <> block, true) OR coalesce(gap_after > 19.2, false) AS blank_after, abs(x + (r - x) / 2 - 306.0) <= 612 * 0.12 AS centered FROM spaced", _OCR))
+def ocr_words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = layout.confident(synthetic.ocr_words(table(spark, sf_dir, "conversations")))
+    got = layout.words_to_lines(words, (612.0, 792.0), (612.0, 792.0))
+    return got.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text", "x", "y", F.col("gap_before").cast("double").alias("gap_before"), "blank_before", "blank_after", "centered")
+
+
+@query(O.query("""SELECT doc_id, page_number, line_no, text, x, y, median(height) OVER (PARTITION BY doc_id, page_number)::DOUBLE AS font_size, gap_before, coalesce(gap_before > 1.25 * median(height) OVER (PARTITION BY doc_id, page_number), false) AS blank_before, false AS font_size_reliable
+FROM (SELECT *, lag(y) OVER w - (y + height) AS gap_before FROM boxes WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_no))""", O.PAGES, "boxes AS (SELECT doc_id, page_number, line_no, text, x, y, font_size AS height FROM lines)"))
+def zone_lines_to_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the synthetic pages as boxes that are as tall as their font."""
+    boxes = _pages(spark, sf_dir).select("doc_id", "page_number", "line_no", "text", F.col("x").alias("left"), F.col("y").alias("bottom"), (F.length("text") * 6).alias("width"), F.col("font_size").alias("height"))
+    got = layout.zones_to_lines(boxes, (synthetic.WIDTH, synthetic.HEIGHT))
+    return got.select("doc_id", "page_number", F.col("line_no").cast("long").alias("line_no"), "text", "x", "y", "font_size", "gap_before", "blank_before", "font_size_reliable")
+
+
+@query(O.query(r"SELECT doc_id, line_no, length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 4 AND length(text) <= 140 AND length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) >= 0.65 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS uppercase FROM lines", O.LINES))
+def uppercase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), ((S.letters(t) >= 4) & (F.length(t) <= 140) & S.looks_upper(t)).alias("uppercase"))
+
+
+# web pages
+
+
+_ANCHORS = """links AS (SELECT page_id, unnest(h) AS href, unnest(range(1, len(h) + 1)) AS link_no FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages))"""
+
+
+@query(O.query("SELECT page_id, link_no::INTEGER AS link_no, href FROM links", _ANCHORS))
+def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.anchors(table(spark, sf_dir, "pages"))
+
+
+@query(O.query("SELECT page_id, link_no::INTEGER AS link_no, starts_with(href, '#') OR lower(regexp_extract(href, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) IN ('http', 'https', 'mailto') AS safe FROM links", _ANCHORS))
+def link_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.anchors(table(spark, sf_dir, "pages")).select("page_id", "link_no", S.safe_link(F.col("href")).alias("safe"))
+
+
+def _dropped_sql() -> str:
+    out = "coalesce(html, '')"
+    for tag in html.DROPPED:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    return out
+
+
+@query(f"SELECT page_id, length(c)::BIGINT AS characters, md5(c) AS html_md5 FROM (SELECT page_id, {_dropped_sql()} AS c FROM pages)")
+def drop_active_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", html.without_active(F.coalesce("html", F.lit(""))).alias("c"))
+    return p.select("page_id", F.length("c").cast("long").alias("characters"), F.md5("c").alias("html_md5"))
+
+
+@query("SELECT page_id, tag, count(*) AS n, CASE WHEN tag IN (" + ", ".join(f"'{t}'" for t in html.DROPPED) + ") THEN 'dropped' WHEN tag IN (" + ", ".join(f"'{t}'" for t in html.KEPT) + ") THEN 'kept' ELSE 'div' END AS action FROM (SELECT page_id, lower(unnest(regexp_extract_all(coalesce(html, ''), '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY 1, 2")
+def tag_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.tags(table(spark, sf_dir, "pages"))
+
+
+_TITLE = "titles AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages)"
+_SLUG = "slugs AS (SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64), ''), 'heading') AS slug FROM titles)"
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query(O.query("SELECT page_id, title FROM titles", _TITLE))
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir)
+
+
+@query(O.query("SELECT page_id, slug FROM slugs", _TITLE, _SLUG))
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("page_id", S.slug(F.col("title")).alias("slug"))
+
+
+@query(O.query("SELECT page_id, slug, slug || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END AS unique_slug FROM slugs WINDOW w AS (PARTITION BY slug ORDER BY page_id)", _TITLE, _SLUG))
+def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.unique_slugs(_titles(spark, sf_dir))
+
+
+_URL = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
+
+
+@query("SELECT page_id, " + ", ".join(f"regexp_extract(url, {_URL}, {i}) AS {n}" for i, n in enumerate(("scheme", "host", "path", "query", "fragment"), 1)) + " FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in html.url_parts(F.col("url")).items()])
+
+
+@query(O.query(f"SELECT page_id, link_no::INTEGER AS link_no, href FROM links l WHERE NOT starts_with(href, '#') AND NOT contains(href, '://') AND NOT EXISTS (SELECT 1 FROM pages p WHERE regexp_extract(p.url, {_URL}, 3) = regexp_extract(l.href, {_URL}, 3))", _ANCHORS))
+def resource_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local links whose path no page has."""
+    from quirefold.operators import integrity
+
+    pages = table(spark, sf_dir, "pages")
+    return integrity.dangling(html.anchors(pages), pages.select(html.url_parts(F.col("url"))["path"].alias("path")))
+
+
+@query("""
+WITH h AS (SELECT conv_id AS doc_id, turn AS entry_no, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations),
+m AS (SELECT *, max(CASE WHEN level = 1 THEN entry_no END) OVER w AS one, max(CASE WHEN level = 2 THEN entry_no END) OVER w AS two0 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, CASE WHEN coalesce(two0, -1) > coalesce(one, -1) THEN two0 END AS two FROM m),
+p AS (SELECT doc_id, entry_no, level, CASE level WHEN 1 THEN NULL WHEN 2 THEN one ELSE coalesce(two, one) END AS parent_no, two, one FROM n)
+SELECT doc_id, entry_no, level, parent_no, CASE WHEN parent_no IS NULL THEN 1 WHEN level = 3 AND two IS NOT NULL AND one IS NOT NULL THEN 3 ELSE 2 END AS depth FROM p""")
+def nav_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as headings, their roles as levels."""
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    return html.nav_tree(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("entry_no"), level.alias("level")))
+
+
+# reports, images, text
+
+
+@query("""
+SELECT user_id, upper(event_type) AS severity, sum(greatest(1, coalesce(json_extract(props, '$.k')::BIGINT, 0)))::BIGINT AS occurrences, count(*) AS messages FROM events GROUP BY 1, 2""")
+def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as validator messages; k counts a message's further places."""
+    from quirefold.operators import reports
+
+    e = table(spark, sf_dir, "events")
+    k = F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0))
+    return reports.rollup(e.select(F.col("user_id").alias("doc_id"), F.upper("event_type").alias("severity"), F.greatest(F.lit(1), k).alias("occurrences"))).withColumnRenamed("doc_id", "user_id")
+
+
+@query("""
+SELECT user_id, rank, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS rank FROM events) WHERE rank <= 5""")
+def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five messages of each report."""
+    from quirefold.operators import reports
+
+    return reports.first(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", 5).select("user_id", "rank", "event_id", "event_type")
+
+
+@query("SELECT label, max(vec_id) FILTER (s = m) AS cover, round(any_value(m), 6) AS score FROM (SELECT *, max(s) OVER (PARTITION BY label) AS m FROM (SELECT label, vec_id, round(4 * embedding[1]::DOUBLE + 3 * embedding[2]::DOUBLE + list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 384, 6) AS s FROM embeddings)) GROUP BY 1")
+def cover_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best scored candidate of each label; of equal scores the later one."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + F.abs(x))
+    s = F.round(F.get(e, F.lit(0)) * 4 + F.get(e, F.lit(1)) * 3 + total / 384, 6)
+    d = table(spark, sf_dir, "embeddings").select("label", "vec_id", s.alias("s"))
+    return d.groupBy("label").agg(F.max_by("vec_id", F.struct("s", "vec_id")).alias("cover"), F.round(F.max("s"), 6).alias("score"))
+
+
+@query("""
+WITH b AS (SELECT conv_id AS doc_id, turn AS block_no, turn // 2 AS page, text FROM conversations),
+v AS (SELECT DISTINCT doc_id, page AS p FROM b WHERE page % 2 = 1 UNION ALL SELECT DISTINCT doc_id, 1000 FROM b),
+r AS (SELECT doc_id, block_no, page, text, max(page) OVER (PARTITION BY doc_id ORDER BY block_no) AS reach FROM b),
+u AS (SELECT doc_id, reach, 1 AS k, page, block_no, 'paragraph' AS kind, md5(text) AS text FROM r UNION ALL SELECT doc_id, p, 0, p, NULL, 'image', md5('image-' || p) FROM v)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reach, k, page, block_no NULLS FIRST)::INTEGER AS place, kind, text FROM u""")
+def visual_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks, two a page; images for the odd pages and one far behind."""
+    c = table(spark, sf_dir, "conversations")
+    b = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("block_no"), F.expr("turn div 2").alias("page_number"), F.lit("paragraph").alias("kind"), F.md5("text").alias("text"))
+    odd = b.filter("page_number % 2 = 1").select("doc_id", "page_number").distinct().unionByName(b.select("doc_id", F.lit(1000).cast("long").alias("page_number")).distinct())
+    v = odd.withColumn("href", F.md5(F.concat(F.lit("image-"), F.col("page_number").cast("string"))))
+    return layout.interleave_visuals(b, v).select("doc_id", "place", "kind", "text")
+
+
+@query(O.query(r"""
+SELECT doc_id, line_no, figure_no, CASE WHEN length(s) BETWEEN 15 AND 170 THEN 'Figure ' || figure_no || '. ' || s ELSE 'Figure ' || figure_no END AS alt FROM (
+  SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS figure_no, regexp_extract(before, '([^.!?]+[.!?]*)\s*$', 1) AS s0, trim(regexp_extract(before, '([^.!?]+[.!?]*)\s*$', 1)) AS s
+  FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM lines) WHERE line_no % 5 = 0)""", O.LINES))
+def figure_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth line stands for an image without a description."""
+    from quirefold.operators import rebuild
+
+    d = _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text", (F.col("line_no") % 5 == 0).alias("is_image"))
+    return rebuild.figure_alts(d).select("doc_id", "line_no", "figure_no", "alt")
+
+
+@query(O.query(r"""
+SELECT doc_id, line_no, md5(string_agg(half, ' ' ORDER BY h)) AS text_md5, count(*) AS parts FROM (
+  SELECT doc_id, line_no, h, half, sum(CASE WHEN h = 2 AND NOT regexp_matches(prev, '[.!?…:;»)]$') AND regexp_matches(half, '^\p{Ll}') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY h) AS g FROM (
+    SELECT *, lag(half) OVER (PARTITION BY doc_id, line_no ORDER BY h) AS prev FROM (
+      SELECT doc_id, line_no, 1 AS h, array_to_string(ws[1:5], ' ') AS half FROM (SELECT doc_id, line_no, string_split(text, ' ') AS ws FROM lines) WHERE len(ws) > 5
+      UNION ALL SELECT doc_id, line_no, 2, array_to_string(ws[6:], ' ') FROM (SELECT doc_id, line_no, string_split(text, ' ') AS ws FROM lines) WHERE len(ws) > 5))
+) GROUP BY doc_id, line_no, g""", O.LINES))
+def split_paragraph_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut behind the fifth word, joined where the cut is inside a sentence."""
+    from quirefold.operators import rebuild
+
+    words = F.split("text", " ")
+    cut = _lines(spark, sf_dir).filter(F.size(words) > 5).select(F.struct("doc_id", F.col("line_no").cast("long").alias("line_no")).alias("key"), F.posexplode(F.array(F.array_join(F.slice(words, 1, 5), " "), F.array_join(F.slice(words, F.lit(6), F.size(words)), " "))).alias("part", "text"))
+    j = rebuild.join_split_paragraphs(cut, ["key"], "part")
+    return j.select("key.doc_id", "key.line_no", F.md5("text").alias("text_md5"), "parts")
+
+
+@query(O.query("""
+SELECT doc_id, chapter_no AS section, md5('<section>' || string_agg(CASE kind WHEN 'heading' THEN '<h1' || CASE WHEN first THEN ' id="chapter-' || lpad(chapter_no::VARCHAR, 3, '0') || '"' ELSE '' END || '>' || e || '</h1>' WHEN 'subtitle' THEN '<p class="subtitle">' || e || '</p>' ELSE '<p>' || e || '</p>' END, chr(10) ORDER BY block_no) || '</section>') AS body_md5
+FROM (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e, kind = 'heading' AND row_number() OVER (PARTITION BY doc_id, chapter_no, kind ORDER BY block_no) = 1 AS first FROM counted) GROUP BY 1, 2""", O.LINES, O.kinds("lines"), O.JOINED, O.SECTIONS))
+def section_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of every section."""
+    from quirefold.operators import render
+
+    b = render.section_bodies(structure.in_sections(structure.blocks(_lines(spark, sf_dir))))
+    return b.select("doc_id", F.col("chapter_no").alias("section"), F.md5("body").alias("body_md5"))
