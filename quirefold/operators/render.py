@@ -81,3 +81,28 @@ def uuid_of(c: Column) -> Column:
     """A name-based identifier in the shape of a UUID, so that reruns agree."""
     h = F.sha2(c, 256)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def facsimile_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, page_number, content): fixed-layout pages with an image and positioned text.
+
+    pages (doc_id, page_number, width, height, href, language); words (doc_id, page_number,
+    word_no, text, left, top, width, height), already scaled to the image.
+    """
+    size = F.format_string("left:%.2fpx;top:%.2fpx;width:%.2fpx;height:%.2fpx;font-size:%.2fpx", *[F.col(c).cast("double") for c in ("left", "top", "width", "height")], F.greatest(F.lit(1.0), F.col("height").cast("double")))
+    span = F.concat(F.lit('<span style="'), size, F.lit('">'), escape_xml(F.col("text")), F.lit("</span>"))
+    layer = words.select("doc_id", "page_number", F.struct("word_no", span.alias("s")).alias("w")).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["s"]), "").alias("layer"))
+    n, wide, tall = F.col("page_number").cast("string"), F.col("width").cast("string"), F.col("height").cast("string")
+    d = pages.join(layer, ["doc_id", "page_number"], "left")
+    a, b, c, *_ = XHTML.split("{0}")
+    content = F.concat(
+        F.lit(HEAD + a), escape_xml(F.col("language")), F.lit(b), escape_xml(F.col("language")), F.lit(c + "<head><title>Page "), n, F.lit('</title><meta name="viewport" content="width='), wide, F.lit(",height="), tall,
+        F.lit('"/><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head><body class="fixed-page"><div class="facsimile" id="page-'), n, F.lit('"><img src="'), escape_xml(F.col("href")), F.lit('" alt="" width="'), wide, F.lit('" height="'), tall,
+        F.lit('"/><div class="text-layer">'), F.coalesce("layer", F.lit("")), F.lit("</div></div></body></html>"),
+    )
+    return d.select("doc_id", "page_number", content.alias("content"))
+
+
+def scaled(words: DataFrame, x: float, y: float) -> DataFrame:
+    """words with their boxes scaled to another resolution."""
+    return words.withColumns({"left": F.col("left") * x, "width": F.col("width") * x, "top": F.col("top") * y, "height": F.col("height") * y})

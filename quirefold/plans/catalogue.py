@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirefold.functions import scalars as S
 from quirefold.operators import layout, structure
@@ -378,3 +377,40 @@ def section_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     b = render.section_bodies(structure.in_sections(structure.blocks(_lines(spark, sf_dir))))
     return b.select("doc_id", F.col("chapter_no").alias("section"), F.md5("body").alias("body_md5"))
+
+
+# without SQL: archives, dictionaries, marked paragraphs
+
+
+@query()
+def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document published as an archive, read again, its links checked and its content repaired."""
+    from quirefold.operators import repair
+    from quirefold.plans import convert
+    from quirefold.sources import epub
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("language"))
+    archives, _ = convert.publish_lines(text.lines(docs), docs)
+    entries, heads = epub.read(archives)
+    mended = repair.repair(entries, heads)
+    n = mended.groupBy("doc_id").agg(F.count("*").alias("entries"), F.sum(F.col("changed").cast("int")).alias("changed"))
+    missing = epub.missing_targets(entries).groupBy("doc_id").agg(F.count("*").alias("missing"))
+    return heads.join(n, "doc_id").join(missing, "doc_id", "left").select("doc_id", "version", "title", "language", "entries", "changed", F.coalesce("missing", F.lit(0)).alias("missing"), "error")
+
+
+@query()
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged Russian lines and a small dictionary."""
+    from quirefold.operators import ocr_text
+
+    rows = [(1, "Это кнuга о cлове."), (2, "в нём сушность"), (3, "plain text"), (4, "r.А. Иванов"), (5, None)]
+    return ocr_text.repair(spark.createDataFrame(rows, "line_no int, text string"), ["книга", "слове", "сущность"])
+
+
+@query()
+def bullet_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked paragraphs of two files."""
+    from quirefold.operators import rebuild
+
+    rows = [(1, "a", 1, "text"), (1, "a", 2, "• one"), (1, "a", 3, "• two"), (1, "a", 4, "text"), (1, "a", 5, "* three"), (1, "b", 6, "● four")]
+    return rebuild.bullet_lists(spark.createDataFrame(rows, "doc_id int, source_path string, block_no int, text string"))
