@@ -42,9 +42,9 @@ def page(language: Column, title: Column, body: Column, css: str = "../styles/bo
     return F.concat(F.lit(HEAD + "<!DOCTYPE html>\n" + a), lang, F.lit(b), lang, F.lit(c + "<head><title>"), escape_xml(title), F.lit(f'</title><link rel="stylesheet" type="text/css" href="{css}"/></head><body>'), body, F.lit("</body></html>"))
 
 
-def _listed(of: DataFrame, key: str, order: str, item: Column) -> DataFrame:
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda p: p["i"])
-    return of.groupBy("doc_id").agg(F.array_join(parts, "").alias(key))
+def _listed(order: str, item: Column) -> Column:
+    """Aggregate: the items of a group in order, as one text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda p: p["i"]), "")
 
 
 def resources(docs: DataFrame, sections: DataFrame, bodies: DataFrame, modified: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -58,11 +58,11 @@ def resources(docs: DataFrame, sections: DataFrame, bodies: DataFrame, modified:
     xhtml = s.select("doc_id", F.concat(F.lit("EPUB/"), "filename").alias("name"), F.lit("application/xhtml+xml").alias("media_type"), page(F.col("language"), F.col("title"), F.col("body")).alias("content"))
     heading = F.col("navigation_id").startswith("chapter")
     href = F.concat(escape_xml(F.col("filename")), F.when(heading, F.concat(F.lit("#"), "navigation_id")).otherwise(""))
-    toc = _listed(s, "toc", "section_no", F.concat(F.lit('<li><a href="'), href, F.lit('">'), escape_xml(F.col("title")), F.lit("</a></li>")))
-    points = _listed(s, "points", "section_no", F.concat(F.lit('<navPoint id="p'), F.col("section_no").cast("string"), F.lit('" playOrder="'), F.col("section_no").cast("string"), F.lit('"><navLabel><text>'), escape_xml(F.col("title")), F.lit('</text></navLabel><content src="'), href, F.lit('"/></navPoint>')))
-    items = _listed(s, "items", "section_no", F.concat(F.lit('<item id="'), "navigation_id", F.lit('" href="'), escape_xml(F.col("filename")), F.lit('" media-type="application/xhtml+xml"/>')))
-    spine = _listed(s, "spine", "section_no", F.concat(F.lit('<itemref idref="'), "navigation_id", F.lit('"/>')))
-    d = meta.join(toc, "doc_id").join(points, "doc_id").join(items, "doc_id").join(spine, "doc_id")
+    toc = _listed("section_no", F.concat(F.lit('<li><a href="'), href, F.lit('">'), escape_xml(F.col("title")), F.lit("</a></li>")))
+    points = _listed("section_no", F.concat(F.lit('<navPoint id="p'), F.col("section_no").cast("string"), F.lit('" playOrder="'), F.col("section_no").cast("string"), F.lit('"><navLabel><text>'), escape_xml(F.col("title")), F.lit('</text></navLabel><content src="'), href, F.lit('"/></navPoint>')))
+    items = _listed("section_no", F.concat(F.lit('<item id="'), "navigation_id", F.lit('" href="'), escape_xml(F.col("filename")), F.lit('" media-type="application/xhtml+xml"/>')))
+    spine = _listed("section_no", F.concat(F.lit('<itemref idref="'), "navigation_id", F.lit('"/>')))
+    d = meta.join(s.groupBy("doc_id").agg(toc.alias("toc"), points.alias("points"), items.alias("items"), spine.alias("spine")), "doc_id")
     nav = page(F.col("language"), F.col("book"), F.concat(F.lit('<nav epub:type="toc"><ol>'), "toc", F.lit("</ol></nav>")), "styles/book.css")
     ncx = F.concat(F.lit(HEAD + '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="'), escape_xml(F.col("identifier")), F.lit('"/><meta name="dtb:depth" content="1"/></head><docTitle><text>'), escape_xml(F.col("book")), F.lit("</text></docTitle><navMap>"), "points", F.lit("</navMap></ncx>"))
     creator = F.coalesce(F.concat(F.lit("<dc:creator>"), escape_xml(F.col("author")), F.lit("</dc:creator>")), F.lit(""))

@@ -391,7 +391,7 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("language"))
     archives, _ = convert.publish_lines(text.lines(docs), docs)
-    entries, heads = epub.read(archives)
+    entries, heads = epub.read(archives.persist())
     mended = repair.repair(entries, heads)
     n = mended.groupBy("doc_id").agg(F.count("*").alias("entries"), F.sum(F.col("changed").cast("int")).alias("changed"))
     missing = epub.missing_targets(entries).groupBy("doc_id").agg(F.count("*").alias("missing"))

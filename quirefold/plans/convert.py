@@ -46,7 +46,7 @@ class Result:
 def publish_lines(lines: DataFrame, docs: DataFrame, options: Options = Options(), outlines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(archives (doc_id, content), sections) of lines tables with running heads still in; docs (doc_id, title, author, language)."""
     meta = metadata.resolve(docs, options.title, options.author, options.language)
-    blocks = structure.blocks(structure.without_running_heads(lines), outlines)
+    blocks = structure.blocks(structure.without_running_heads(lines), outlines).persist()  # sections, bodies and navigation read it
     sections = structure.sections(blocks, meta)
     bodies = render.section_bodies(structure.in_sections(blocks))
     files = render.resources(meta.withColumn("identifier", F.lit(None).cast("string")), sections, bodies)
