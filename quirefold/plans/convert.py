@@ -43,10 +43,15 @@ class Result:
     warnings: list[str] = field(default_factory=list)
 
 
-def publish_lines(lines: DataFrame, docs: DataFrame, options: Options = Options(), outlines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(archives (doc_id, content), sections) of lines tables with running heads still in; docs (doc_id, title, author, language)."""
+def publish_lines(lines: DataFrame, docs: DataFrame, options: Options = Options(), outlines: DataFrame | None = None, sparse_front: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(archives (doc_id, content), sections) of lines tables with running heads still in; docs (doc_id, title, author, language).
+
+    sparse_front: headings on sparse early pages don't open chapters.
+    """
     meta = metadata.resolve(docs, options.title, options.author, options.language)
-    blocks = structure.blocks(structure.without_running_heads(lines), outlines).persist()  # sections, bodies and navigation read it
+    body = structure.without_running_heads(lines)
+    blocks = structure.blocks(body, outlines)
+    blocks = (layout.demote_front_matter(blocks, body) if sparse_front else blocks).persist()  # sections, bodies and navigation read it
     sections = structure.sections(blocks, meta)
     bodies = render.section_bodies(structure.in_sections(blocks))
     files = render.resources(meta.withColumn("identifier", F.lit(None).cast("string")), sections, bodies)
@@ -90,6 +95,15 @@ def repaired(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return epub.pack(mended), repair.fixes(mended, headers), headers
 
 
+def rebuilt(files: DataFrame, headings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As repaired(), with chapters, navigation and package made anew; headings (norm_title, kind) add to the generic rules."""
+    from quirefold.operators import rebuild_archive
+
+    entries, headers = epub.read(files)
+    mended = repair.repair(entries, headers)
+    return epub.pack(rebuild_archive.rebuilt(mended, headers, headings)), repair.fixes(mended, headers), headers
+
+
 def _input(path: str) -> Path:
     p = Path(path).expanduser()
     if not p.is_file():
@@ -131,9 +145,10 @@ def convert(spark: SparkSession, source: str, target: str | None = None, options
         docs = spark.createDataFrame([(path.stem, path.stem, None)], "doc_id string, title string, language string")
         archives, sections = publish_fragments(tools.page_fragments(_one(spark, path)), docs, options)
     else:
-        reports_ = spark.createDataFrame([(path.stem, 1, tools.page_zones(str(path), 1))], "doc_id string, page_number int, zones string")
+        pages = [(path.stem, n, tools.page_zones(str(path), n)) for n in range(1, tools.page_count(str(path)) + 1)]
+        reports_ = spark.createDataFrame(pages, "doc_id string, page_number int, zones string")
         docs = spark.createDataFrame([(path.stem, path.stem, None)], "doc_id string, title string, language string")
-        archives, sections = publish_lines(layout.zones_to_lines(tools.zones(reports_), (612.0, 792.0)), docs, options)
+        archives, sections = publish_lines(layout.zones_to_lines(tools.zones(reports_), (612.0, 792.0)), docs, options, sparse_front=True)
     row = archives.first()
     if row is None:
         raise DocumentReadError(f"{path} has no text")
@@ -150,7 +165,7 @@ def repair_file(spark: SparkSession, source: str, target: str | None = None, opt
         raise InputError("only .epub files can be repaired")
     out = output_path(path, target, options.overwrite, "-rebuilt" if options.full_repair else "-fixed")
     epub.header_of(epub.entries_of(path.read_bytes()))
-    archives, fixes, headers = repaired(_one(spark, path))
+    archives, fixes, headers = (rebuilt if options.full_repair else repaired)(_one(spark, path))
     content, head = bytes(archives.first().content), headers.first()
     draft = out.with_suffix(".part.epub")
     try:

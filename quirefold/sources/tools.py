@@ -125,10 +125,18 @@ def zones(reports: DataFrame, kind: str = "line") -> DataFrame:
     ).filter("text <> ''")
 
 
+def page_count(path: str) -> int:
+    """Pages of a zone file: the last whole number that its tool prints."""
+    found = re.findall(r"\d+", run([tool("djvused"), path, "-e", "n"], TIMEOUT["zones"]).decode())
+    if not found:
+        raise ZoneReadError(f"{path} has no page count")
+    return int(found[-1])
+
+
 def page_zones(path: str, page: int) -> str:
     """The zones of one page of a file, by the zone tool; a page without text has none."""
     try:
-        return run([tool("djvutxt", None), f"--page={page}", "--detail=word", path], TIMEOUT["zones"]).decode()
+        return run([tool("djvutxt", None), f"--page={page}", "--detail=line", path], TIMEOUT["zones"]).decode()
     except RepairError as e:
         raise ZoneReadError(str(e)) from e
 

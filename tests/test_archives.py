@@ -74,6 +74,19 @@ def test_word_documents(spark):
     assert [r.title for r in sections.collect()] == ["Title"] and epub.header_of(epub.entries_of(bytes(archives.first().content)))["title"] == "Core"
 
 
+def test_full_rebuild(spark, tmp_path):
+    body = b'<html xmlns="http://www.w3.org/1999/xhtml"><body><div><p id="t">Front <a href="#c2">to two</a></p></div><p> </p><p>Chapter 1. One</p><p>What is said before the image, in a sentence.</p><p><img src="i.png"/></p><p id="c2">Chapter 2. Two</p><p><a href="b.xhtml#t">back</a></p></body></html>'
+    (tmp_path / "x.epub").write_bytes(book(body, "3.0", **{"OPS/i.png": b"png"}))
+    r = convert.repair_file(spark, str(tmp_path / "x.epub"), options=convert.Options(full_repair=True), validate=lambda p, j: "{}")
+    assert r.output_path.endswith("x-rebuilt.epub")
+    files = {n: c for n, c, _ in epub.entries_of((tmp_path / "x-rebuilt.epub").read_bytes())}
+    head = epub.header_of(epub.entries_of((tmp_path / "x-rebuilt.epub").read_bytes()))
+    assert head["title"] == "T" and {"EPUB/text/front.xhtml", "EPUB/text/chapter-001.xhtml", "EPUB/text/chapter-002.xhtml", "OPS/i.png"} <= set(files)
+    one, two, front = (files[f"EPUB/text/{n}.xhtml"].decode() for n in ("chapter-001", "chapter-002", "front"))
+    assert ">One</h1>" in one and 'alt="Figure 1. What is said before the image, in a sentence."' in one and 'src="../../OPS/i.png"' in one
+    assert ">Two</h1>" in two and 'href="front.xhtml#t"' in two and 'href="chapter-002.xhtml#c2"' in front
+
+
 def test_severities_count_places(spark):
     report = '{"messages":[{"ID":"A","severity":"ERROR","message":"m","locations":["x","y"],"additionalLocations":3},{"ID":"B","severity":"WARNING","message":"w","locations":[]}]}'
     m = reports.messages(spark.createDataFrame([(1, report)], "doc_id int, json string"))
