@@ -141,6 +141,26 @@ def chunks(texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[tuple[int, l
         yield at, run
 
 
+def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches cut into one table per run of equal keys (integers)."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), b.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            now = tuple(k[:, s])
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, root) of every id that has an edge: root is the smallest id that edges lead to.
 

@@ -10,9 +10,10 @@ independent ones. Bands of the sketch propose links.
 
 A band's bucket is never expanded into pairs. Its members are linked to one hub, the bucket's
 smallest id: first each document with the hub it shares most bands with, then what is still in
-different components. For buckets whose members are even then in different components, members
-are compared with those of other components, so no link between proposed documents is lost. Every
-link is confirmed on the full sets.
+different components. In buckets whose members are even then in different components, members are
+held against those of other components inside a task, by an exact upper bound of similarity from
+histograms of their shingles, so no link between proposed documents is lost and only pairs that
+may be links become rows. Every link is confirmed on the full sets.
 
 With 36 bands of 5 bins, a pair at similarity 0.8 shares no band with a probability below 1e-6.
 
@@ -32,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordHashes, bounded_batches, chunks, components, ids_hint, join_facts, keep, mix, shingles, utf8
+from quirefold.llm.common import WordHashes, bounded_batches, chunks, components, ids_hint, join_facts, keep, mix, runs_of, shingles, utf8
 
 ROWS, BANDS = 5, 36
+HISTOGRAM = 256
+PART = 2000
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -71,7 +74,7 @@ def shingle_sets(texts: list[bytes], k: int, seen: WordHashes) -> list[np.ndarra
 
 
 def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, same, bands): the set's size, 128 bits that equal sets share, and band keys."""
+    """(id, n, same, bands, counts): the set's size, 128 bits that equal sets share, band keys, and how many shingles fall into each of HISTOGRAM parts."""
     bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -86,9 +89,9 @@ def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 lists: list = [None] * len(sets)
                 for i, row in zip(full, keys, strict=True):
                     lists[i] = row
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM).astype("<u4" if len(x) > 60_000 else "<u2").tobytes() for x in sets], pa.binary())], ["id", "n", "same", "bands", "counts"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, same binary, bands array<bigint>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, same binary, bands array<bigint>, counts binary")
 
 
 def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
@@ -160,9 +163,8 @@ def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
     labelled = keep(labelled.join(mixed, "band", "left_semi"))
     hubs = labelled.filter("id = hub").select("band", F.col("root").alias("hub_root"))
-    rest = labelled.join(hubs, "band").filter("root <> hub_root and id <> hub").select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = labelled.filter("id <> hub").select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = rest.join(other, "band").filter("ra <> rb and " + close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = labelled.join(hubs, "band").select("band", "id", "n", "root", (F.col("root") != F.col("hub_root")).alias("apart"))
+    pairs = _possible(rest, reps.select("id", "counts"), percent)
     links = keep(links.union(confirmed(pairs, sets, percent)))
     roots = components(links)
 
@@ -170,6 +172,49 @@ def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     return rooted.unionByName(s.filter("same is null").select("id", "n", F.col("id").alias("root")))
 
 
+def _possible(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within bands whose members are in different components and may be similar.
+
+    rows (band, id, n, root, apart): apart ones are compared with all others. The histograms give
+    an upper bound of the intersection that is exact, so a pair beyond it can't be a link; pairs
+    are looked at inside a task and only those within the bound become rows. Large bands are cut
+    into a grid of parts of about PART rows.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = rows.groupBy("band").agg(F.expr(f"cast(count(*) div {PART} + 1 as int)").alias("parts"))
+    d = rows.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = d.filter("apart").withColumn("j", every).withColumn("i", F.col("own")).withColumn("left", F.lit(True))
+    right = d.withColumn("i", every).withColumn("j", F.col("own")).withColumn("left", F.lit(False))
+    both = left.unionByName(right).select("band", "i", "j", "left", "apart", "id", "n", "root").join(counts, "id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, apart = (t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "apart"))
+        ids, n, root = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "root"))
+        c = np.stack([np.frombuffer(x, "<u4" if len(x) == 4 * HISTOGRAM else "<u2").astype(np.int32) for x in t.column("counts").to_pylist()])
+        others = np.flatnonzero(~side)
+        first, second = [], []
+        for i in np.flatnonzero(side):
+            # of two that are apart, the pair belongs to the smaller id
+            some = others[(root[others] != root[i]) & (~apart[others] | (ids[others] > ids[i]))]
+            some = some[100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i])]
+            most = np.minimum(c[some], c[i]).sum(1)
+            some = some[100 * most >= percent * (n[some] + n[i] - most)]
+            first.append(np.minimum(ids[some], ids[i]))
+            second.append(np.maximum(ids[some], ids[i]))
+        return pa.table({"a": np.concatenate([ids[:0], *first]), "b": np.concatenate([ids[:0], *second])})
+
+    ordered = both.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, ["band", "i", "j"]):
+            got = compare(t)
+            if got.num_rows:
+                yield from got.to_batches()
+
+    return keep(ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct())
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, by: str, out: str) -> DataFrame:
     """rows with the root of the id in column by; ids without a link are their own."""
     r = roots.select(F.col("id").alias("__by"), F.col("root").alias("__root"))
