@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quirefold.functions import scalars as S
@@ -133,7 +134,7 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
         upper.append(more)
         merged.append(bool(joins))
         before = r
-    return pd.DataFrame({"doc_id": rows.doc_id, "page_number": rows.page_number, "line_no": rows.line_no, "__heading": heading, "__upper": upper, "__merged": merged})
+    return rows.assign(__heading=heading, __upper=upper, __merged=merged)
 
 
 def kinds(lines: DataFrame, outlines: DataFrame | None = None, fold_all: bool = False) -> DataFrame:
@@ -141,11 +142,11 @@ def kinds(lines: DataFrame, outlines: DataFrame | None = None, fold_all: bool =
     d = heading_flags(lines, outlines)
     text = S.strip(F.col("text"))
     special = F.col("is_heading") & (text.rlike(S.LABEL) | text.endswith(SOFT))
-    odd = d.filter(F.lit(True) if fold_all else special).select("doc_id").distinct()
-    kind = d.schema["doc_id"].dataType.simpleString()
-    need = ["doc_id", "page_number", "line_no", "text", "is_heading", "page_start", "page_end", "centered", "blank_before"]
-    folded = d.join(odd, "doc_id", "left_semi").select(*need).groupBy("doc_id").applyInPandas(_fold, f"doc_id {kind}, page_number int, line_no int, __heading boolean, __upper boolean, __merged boolean")
-    d = d.join(folded, ["doc_id", "page_number", "line_no"], "left")
+    odd = F.lit(True) if fold_all else F.max(special).over(Window.partitionBy("doc_id"))
+    d = d.withColumn("__odd", odd)
+    folded = T.StructType([*d.schema.fields, *[T.StructField(n, T.BooleanType()) for n in ("__heading", "__upper", "__merged")]])
+    plain = d.filter(~F.col("__odd")).withColumns({n: F.lit(None).cast("boolean") for n in ("__heading", "__upper", "__merged")})
+    d = plain.unionByName(d.filter("__odd").groupBy("doc_id").applyInPandas(_fold, folded)).drop("__odd")
     d = d.withColumn("is_heading", F.coalesce("__heading", "is_heading"))
     d = d.withColumn("__after", _true(F.lag("is_heading").over(doc_order())))
     same_page = F.lag("page_number").over(doc_order()) == F.col("page_number")
