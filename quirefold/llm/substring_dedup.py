@@ -316,10 +316,10 @@ def _result(t: DataFrame, marks: DataFrame, with_text: bool) -> DataFrame:
                 kept.append(b" ".join(rest).decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    few = marks.agg(F.count("*"), F.sum(F.size("marks"))).first()
-    hinted = ids_hint(marks, max(few[0], few[1] or 0))
-    changed = t.select("row", "id", "text").join(hinted, "row").select("id", "text", "marks").mapInArrow(run, schema)
+    rows, n = marks.select("row"), marks.count()
+    touched = t.select("row", "id", "text").join(ids_hint(rows, n), "row", "left_semi")
+    changed = touched.join(marks, "row").select("id", "text", "marks").mapInArrow(run, schema)
     words = F.regexp_replace(F.decode("text", "UTF-8"), r"[\x20\x09-\x0D]+", " ")
-    same = t.join(ids_hint(marks.select("row"), few[0]), "row", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.trim(words).alias("kept") if with_text else F.lit(None).cast("string").alias("kept"))
+    same = t.join(ids_hint(rows, n), "row", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.trim(words).alias("kept") if with_text else F.lit(None).cast("string").alias("kept"))
     out = changed.unionByName(same)
     return out if with_text else out.drop("kept")
