@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,17 @@ def sequences(texts: list[bytes]) -> np.ndarray:
     return key
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers with equal bytes side by side, compressed; small and similar ones take a byte or less."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def unpacked(b: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -215,8 +227,8 @@ class Tree:
         return np.add.reduceat(self.log2(sequences(texts)), np.cumsum(size) - size) * np.log10(2)
 
 
-def _lowered(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    yield from chunks((x.lower() for x in utf8(batch.column(column))), 2 << 20)
+def _lowered(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    yield from chunks((x.lower() for x in utf8(batch.column(column))), most)
 
 
 def grow(train: DataFrame) -> Tree:
@@ -240,16 +252,16 @@ def grow(train: DataFrame) -> Tree:
             shard = (shard % np.uint64(SHARDS)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-            rows = [(s, keys[order[i:j]].astype("<u8").tobytes(), n[order[i:j]].astype("<i8").tobytes(), int(n[order[i:j]].sum())) for s, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if j > i]
+            rows = [(s, packed(np.diff(keys[order[i:j]], prepend=np.uint64(0)).astype("<u8")), packed(n[order[i:j]].astype("<u4")), int(n[order[i:j]].sum())) for s, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "keys", "n", "total"])
 
-    parts = keep(train.select("text").mapInArrow(count, "shard int, keys binary, n binary, total bigint"), "zstd")
+    parts = keep(train.select("text").mapInArrow(count, "shard int, keys binary, n binary, total bigint"), "uncompressed")
     total = parts.agg(F.sum("total")).first()[0] or 0
     least = max(1, -(-total // CONTEXTS))
 
     def add(t: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("n").to_pylist()])
+        k = np.concatenate([np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in t.column("keys").to_pylist()])
+        n = np.concatenate([unpacked(x, "<u4") for x in t.column("n").to_pylist()]).astype(np.int64)
         k, n = summed(k, n)
         out = []
         for d in range(DEPTH, 1, -1):
@@ -291,7 +303,7 @@ def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tu
         seen, part, number = WordHashes(), TaskContext.get().partitionId() << 32, 0
         for b in batches:
             learns = b.column(2).to_numpy(zero_copy_only=False)
-            for at, texts in _lowered(b, 1):
+            for at, texts in _lowered(b, 1, 8 << 20):
                 h = [seen.of([*x.split(), b""]) for x in texts]  # the empty word is the end
                 size = np.array([len(x) for x in h])
                 distinct, token = np.unique(np.concatenate(h), return_inverse=True)
@@ -312,7 +324,7 @@ def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tu
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part + number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]),
-                        pa.array([b.column(0).slice(at, len(texts)).to_pylist()], pa.list_(id_type)), pa.array([same], pa.list_(pa.binary())), pa.array([size.astype(np.int32)], pa.list_(pa.int32())), pa.array([place[token].astype("<i4").tobytes()], pa.binary()),
+                        pa.array([b.column(0).slice(at, len(texts)).to_pylist()], pa.list_(id_type)), pa.array([same], pa.list_(pa.binary())), pa.array([size.astype(np.int32)], pa.list_(pa.int32())), pa.array([packed(place[token].astype("<u4"))], pa.binary()),
                     ],
                     names,
                 )
@@ -337,7 +349,7 @@ def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tu
             for i in np.flatnonzero(~b.column(6).is_null().to_numpy(zero_copy_only=False)):
                 c.append(b.column(2).slice(begun, i - begun).to_numpy(zero_copy_only=False))
                 count, size = np.concatenate(c), np.array(b.column(5)[i].as_py())
-                token = np.frombuffer(b.column(6)[i].as_py(), "<i4")
+                token = unpacked(b.column(6)[i].as_py(), "<u4")
                 start = np.cumsum(size) - size
                 value = np.log10((count + 0.5) / below)[token]
                 ids, same = b.column(3)[i].values, b.column(4)[i].values
