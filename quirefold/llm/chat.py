@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches
+from quirefold.llm.common import bounded_batches, tidied
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 # Strings that public chat templates use as markup.
@@ -171,7 +171,7 @@ def windows(df: DataFrame, budget: int = 512, history: int = 2, vocabulary: str
             yield flush()
 
     ordered = df.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, window bigint, text string, context_turns bigint, new_turns bigint, tokens bigint, loss array<struct<start:bigint,end:bigint>>")
+    return ordered.select("conv_id", "role", "text").mapInArrow(tidied(run), f"conv_id {kind}, window bigint, text string, context_turns bigint, new_turns bigint, tokens bigint, loss array<struct<start:bigint,end:bigint>>")
 
 
 def read(text: str) -> list[tuple[str, str]]:
@@ -221,4 +221,4 @@ def summary(formatted: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return formatted.select("conv_id", "text", "context_turns", "loss").mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")
+    return formatted.select("conv_id", "text", "context_turns", "loss").mapInArrow(tidied(run), f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")

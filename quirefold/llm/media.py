@@ -20,11 +20,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, utf8
+from quirefold.llm.common import bounded_batches, tidied, utf8
 
 # Element ids of EBML and Matroska.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -274,8 +275,6 @@ def read_back(media: bytes) -> tuple[Parsed, bytes]:
 
 def encoded(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """df with a binary column: each text's padded bytes as Matroska."""
-    import pandas as pd
-
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf("binary")
@@ -305,7 +304,7 @@ def packets(df: DataFrame, id_col: str, media_col: str = "media", strict: bool =
             for i in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 50_000]], t) for k, t in enumerate(kinds)], names)
 
-    return df.select(F.col(id_col), F.col(media_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(media_col)).mapInArrow(tidied(run), schema)
 
 
 def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,4 +328,4 @@ def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)

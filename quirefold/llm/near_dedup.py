@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordHashes, bounded_batches, chunks, components, ids_hint, join_facts, keep, mix, runs_of, shingles, utf8
+from quirefold.llm.common import WordHashes, bounded_batches, chunks, components, ids_hint, join_facts, keep, mix, runs_of, shingles, tidied, utf8
 
 ROWS, BANDS = 5, 36
 HISTOGRAM = 256
@@ -81,7 +81,7 @@ def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in batches:
-            for at, texts in chunks(utf8(b.column(1))):
+            for at, texts in chunks(utf8(b.column(1)), 2 << 20):
                 sets = shingle_sets(texts, k, seen)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = bands(sketches([sets[i] for i in full], ROWS * BANDS)).astype("<u8").view("<i8") if full else np.zeros((0, BANDS), "<i8")
@@ -91,7 +91,7 @@ def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     lists[i] = row
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM).astype("<u4" if len(x) > 60_000 else "<u2").tobytes() for x in sets], pa.binary())], ["id", "n", "same", "bands", "counts"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, same binary, bands array<bigint>, counts binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n bigint, same binary, bands array<bigint>, counts binary")
 
 
 def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
@@ -101,12 +101,12 @@ def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, ids: DataFrame)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in batches:
-            for at, texts in chunks(utf8(b.column(1))):
+            for at, texts in chunks(utf8(b.column(1)), 2 << 20):
                 items = [s.astype("<u8").tobytes() for s in shingle_sets(texts, k, seen)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(items, pa.binary())], ["id", "items"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids_hint(ids, ids.count()), "id", "left_semi")
-    return keep(rows.mapInArrow(run, f"id {kind}, items binary").dropDuplicates(["id"]), "uncompressed")
+    return keep(rows.mapInArrow(tidied(run), f"id {kind}, items binary").dropDuplicates(["id"]), "uncompressed")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +124,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}"))
+    return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), f"a {kind}, b {kind}"))
 
 
 def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +212,7 @@ def _possible(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
             if got.num_rows:
                 yield from got.to_batches()
 
-    return keep(ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct())
+    return keep(ordered.mapInArrow(tidied(run), f"a {kind}, b {kind}").distinct())
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, by: str, out: str) -> DataFrame:

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, chunks, utf8
+from quirefold.llm.common import bounded_batches, chunks, tidied, utf8
 
 MARK = "▁"
 _PACK = 4  # characters of 15 bits in a 64-bit word
 _NONE = np.int64(1) << 40
-UNITS = 400_000
+UNITS = 250_000
 
 
 class Model:
@@ -317,9 +317,9 @@ class Encoder:
         return out
 
 
-@lru_cache(2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(Model(path))
+@lru_cache(1)
+def _model(path: str) -> Model:
+    return Model(path)
 
 
 def _ids(column: pa.Array, encoder: Encoder) -> Iterator[tuple[int, list[bytes], list[np.ndarray]]]:
@@ -332,11 +332,13 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", out_col: str
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def run(t: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        for _, _, ids in _ids(pa.array(t, pa.string()), _encoder(model_file)):
-            out += ids
-        return pd.Series(out)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(_model(model_file))
+        for t in batches:
+            out: list[np.ndarray] = []
+            for _, _, ids in _ids(pa.array(t, pa.string()), encoder):
+                out += ids
+            yield pd.Series(out, dtype=object)
 
     return df.withColumn(out_col, run(F.col(text_col)))
 
@@ -346,7 +348,7 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "ids", out_col: str =
 
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:
-        model = _encoder(model_file).model
+        model = _model(model_file)
         return pd.Series([model.decode(np.asarray(x)).decode("utf-8", "replace") if x is not None else "" for x in t])
 
     return df.withColumn(out_col, run(F.col(ids_col)))
@@ -358,7 +360,7 @@ def summary(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_file)
+        encoder = Encoder(_model(model_file))
         for b in batches:
             for at, texts, ids in _ids(b.column(1), encoder):
                 back = [encoder.model.decode(i) for i in ids]
@@ -369,4 +371,4 @@ def summary(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *cols], ["id", "n_chars", "n_ids", "ids_sha256", "decoded_sha256", "same"])
 
     schema = f"id {kind}, n_chars bigint, n_ids bigint, ids_sha256 string, decoded_sha256 string, same boolean"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)

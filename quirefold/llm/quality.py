@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, keep, utf8
+from quirefold.llm.common import bounded_batches, keep, tidied, utf8
 
 FEATURES = 24
 FOURIER = 256
@@ -72,7 +72,7 @@ def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["id", "x"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, x binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, x binary")
 
 
 def _tree(parts: DataFrame) -> np.ndarray | None:
@@ -135,7 +135,7 @@ def _sums(rows: DataFrame, of, width: int) -> np.ndarray:
                 total += of(unpack(b.column(0).to_pylist()), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "v"])
 
-    got = _tree(rows.select("x", "y", "fold").mapInArrow(run, "part bigint, v binary"))
+    got = _tree(rows.select("x", "y", "fold").mapInArrow(tidied(run), "part bigint, v binary"))
     return np.zeros(width) if got is None else got
 
 
@@ -201,7 +201,7 @@ def scored(x: DataFrame, model: Model) -> DataFrame:
             s = shared.value.score(unpack(b.column(1).to_pylist())) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["id", "score"])
 
-    return x.mapInArrow(run, f"id {x.schema['id'].dataType.simpleString()}, score double")
+    return x.mapInArrow(tidied(run), f"id {x.schema['id'].dataType.simpleString()}, score double")
 
 
 def score_column(spark, model: Model, text: Column) -> Column:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordHashes, bounded_batches, chunks, ids_hint, join_facts, keep, mix, utf8
+from quirefold.llm.common import WordHashes, bounded_batches, chunks, ids_hint, join_facts, keep, mix, tidied, utf8
 
 BLOCK = 20_000
 QUERIES_A_GROUP = 1000
@@ -184,7 +184,7 @@ def _table(df: DataFrame, length: int, k: int, id_col: str, text_col: str) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(entry)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(sha), pa.array(texts, pa.binary()), lists], ["id", "n_words", "sha", "text", "anchors"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words bigint, sha string, text binary, anchors array<struct<g:bigint,block:int,times:int>>")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n_words bigint, sha string, text binary, anchors array<struct<g:bigint,block:int,times:int>>")
     return keep(out.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -212,7 +212,7 @@ def _segments(routed: DataFrame, length: int, k: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["home", "block", "query", "row", "start", "words"])
 
-    return routed.select("row", "text", "homes").mapInArrow(run, "home bigint, block int, query boolean, row bigint, start bigint, words binary")
+    return routed.select("row", "text", "homes").mapInArrow(tidied(run), "home bigint, block int, query boolean, row bigint, start bigint, words binary")
 
 
 def _matched(segments: DataFrame, length: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     ordered = segments.repartition("home", "block", "salt").sortWithinPartitions("home", "block", "salt", "query", "row", "start")
-    return ordered.select("home", "block", "salt", "query", "row", "start", "words").mapInArrow(run, "row bigint, s bigint, e bigint, w binary")
+    return ordered.select("home", "block", "salt", "query", "row", "start", "words").mapInArrow(tidied(run), "row bigint, s bigint, e bigint, w binary")
 
 
 def removed(df: DataFrame, length: int = 50, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -318,7 +318,7 @@ def _result(t: DataFrame, marks: DataFrame, with_text: bool) -> DataFrame:
 
     rows, n = marks.select("row"), marks.count()
     touched = t.select("row", "id", "text").join(ids_hint(rows, n), "row", "left_semi")
-    changed = touched.join(marks, "row").select("id", "text", "marks").mapInArrow(run, schema)
+    changed = touched.join(marks, "row").select("id", "text", "marks").mapInArrow(tidied(run), schema)
     words = F.regexp_replace(F.decode("text", "UTF-8"), r"[\x20\x09-\x0D]+", " ")
     same = t.join(ids_hint(rows, n), "row", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.trim(words).alias("kept") if with_text else F.lit(None).cast("string").alias("kept"))
     out = changed.unionByName(same)

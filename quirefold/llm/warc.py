@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, ids_hint, keep
+from quirefold.llm.common import bounded_batches, ids_hint, keep, tidied
 
 LEAST = 1000
 ARCHIVE_BYTES = 8 << 20
@@ -134,7 +134,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         if buffer:
             yield flush()
 
-    return rows.mapInArrow(run, "archive string, data binary")
+    return rows.mapInArrow(tidied(run), "archive string, data binary")
 
 
 def _kinds(whole: bool) -> list:
@@ -176,7 +176,7 @@ def read(archives: DataFrame, whole_ids: bool = True) -> DataFrame:
                     part = rows[i : i + 20_000]
                     yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in part], t) for k, t in enumerate(_kinds(whole_ids))], pa.array(range(i, i + len(part)), pa.int64())], [*ENTRY, "step"])
 
-    return archives.select("archive", "data").mapInArrow(run, _schema(whole_ids) + ", step bigint")
+    return archives.select("archive", "data").mapInArrow(tidied(run), _schema(whole_ids) + ", step bigint")
 
 
 class LoserTree:
