@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, keep, tidied, utf8
+from quirefold.llm.common import bounded_batches, ids_hint, keep, tidied, utf8
 
 FEATURES = 24
 FOURIER = 256
@@ -219,6 +219,7 @@ def score_column(spark, model: Model, text: Column) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_in=None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that the classifier accepts, with all their columns; no row moves."""
-    known = docs.select(F.col(id_col), F.col(text_col)).join(labels.select(F.col("doc_id").alias("__qf_id")).distinct(), F.col(id_col) == F.col("__qf_id"), "left_semi")
+    ids = labels.select(F.col("doc_id").alias("__qf_id")).distinct()
+    known = docs.select(F.col(id_col), F.col(text_col)).join(ids_hint(ids, ids.count()), F.col(id_col) == F.col("__qf_id"), "left_semi")
     model = fit(labelled(features(known, id_col, text_col), labels, keep_in=keep_in))
     return docs.filter(score_column(docs.sparkSession, model, F.col(text_col)) >= least)
