@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordHashes, bounded_batches, chunks, keep, utf8
+from quirefold.llm.common import WordHashes, bounded_batches, chunks, keep, tidied, utf8
 
 DEPTH = 5
 CONTEXTS = 1 << 20
@@ -255,7 +255,7 @@ def grow(train: DataFrame) -> Tree:
             rows = [(s, packed(np.diff(keys[order[i:j]], prepend=np.uint64(0)).astype("<u8")), packed(n[order[i:j]].astype("<u4")), int(n[order[i:j]].sum())) for s, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "keys", "n", "total"])
 
-    parts = keep(train.select("text").mapInArrow(count, "shard int, keys binary, n binary, total bigint"), "uncompressed")
+    parts = keep(train.select("text").mapInArrow(tidied(count), "shard int, keys binary, n binary, total bigint"), "uncompressed")
     total = parts.agg(F.sum("total")).first()[0] or 0
     least = max(1, -(-total // CONTEXTS))
 
@@ -293,6 +293,15 @@ def grow(train: DataFrame) -> Tree:
     return Tree(grams)
 
 
+def _stream(ids: pa.Array, same: list[bytes], size: np.ndarray) -> bytes:
+    """A block's documents as one value."""
+    rows = pa.RecordBatch.from_arrays([ids, pa.array(same, pa.binary()), pa.array(size, pa.int64())], ["id", "same", "size"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
 def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(id, same, n_tokens, n_known, base_score) of each distinct (id, text), and all training tokens."""
     spark = df.sparkSession
@@ -312,11 +321,11 @@ def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tu
                 often = np.argsort(-np.bincount(token, minlength=len(distinct)), kind="stable")  # small numbers for frequent words
                 place = np.empty(len(often), np.int32)
                 place[often] = np.arange(len(often), dtype=np.int32)
-                m, id_type = len(distinct), b.schema.field(0).type
+                m = len(distinct)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(m, part + number)), pa.array(np.arange(m, dtype=np.int32)), pa.array(distinct[often].astype("<u8").view("<i8")), pa.array(n[often]),
-                        pa.nulls(m, pa.list_(id_type)), pa.nulls(m, pa.list_(pa.binary())), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.binary()),
+                        pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()),
                     ],
                     names,
                 )
@@ -324,40 +333,39 @@ def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tu
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part + number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]),
-                        pa.array([b.column(0).slice(at, len(texts)).to_pylist()], pa.list_(id_type)), pa.array([same], pa.list_(pa.binary())), pa.array([size.astype(np.int32)], pa.list_(pa.int32())), pa.array([packed(place[token].astype("<u4"))], pa.binary()),
+                        pa.array([_stream(b.column(0).slice(at, len(texts)), same, size)], pa.binary()), pa.array([packed(place[token].astype("<u4"))], pa.binary()),
                     ],
                     names,
                 )
                 number += 1
 
-    names = ["block", "place", "h", "n", "ids", "same", "sizes", "tokens"]
-    bag = f"ids array<{kind}>, same array<binary>, sizes array<int>, tokens binary"
+    names = ["block", "place", "h", "n", "docs", "tokens"]  # no lists: Spark sums up their sizes anew for every row of a batch
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("learn"))
-    t = keep(rows.mapInArrow(count, f"block bigint, place int, h bigint, n bigint, {bag}"), "zstd")
+    t = keep(rows.mapInArrow(tidied(count), "block bigint, place int, h bigint, n bigint, docs binary, tokens binary"), "zstd")
     asked = t.filter("h is not null")
     counts = keep(asked.filter("n > 0").groupBy("h").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, below = total or 0, (total or 0) + 0.5 * (distinct + 1)
     answers = asked.select("block", "place", "h").join(counts, "h", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"))
-    both = answers.unionByName(t.filter("h is null").select("block", "ids", "same", "sizes", "tokens"), allowMissingColumns=True)
+    both = answers.unionByName(t.filter("h is null").select("block", "docs", "tokens"), allowMissingColumns=True)
     ordered = both.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: list[np.ndarray] = []
         for b in batches:
             begun = 0
-            for i in np.flatnonzero(~b.column(6).is_null().to_numpy(zero_copy_only=False)):
+            for i in np.flatnonzero(~b.column(4).is_null().to_numpy(zero_copy_only=False)):
                 c.append(b.column(2).slice(begun, i - begun).to_numpy(zero_copy_only=False))
-                count, size = np.concatenate(c), np.array(b.column(5)[i].as_py())
-                token = unpacked(b.column(6)[i].as_py(), "<u4")
+                held = pa.ipc.open_stream(b.column(3)[i].as_py()).read_all()
+                ids, same, size = held.column(0).combine_chunks(), held.column(1).combine_chunks(), held.column(2).to_numpy()
+                count, token = np.concatenate(c), unpacked(b.column(4)[i].as_py(), "<u4")
                 start = np.cumsum(size) - size
                 value = np.log10((count + 0.5) / below)[token]
-                ids, same = b.column(3)[i].values, b.column(4)[i].values
                 yield pa.RecordBatch.from_arrays([ids, same, pa.array(size, pa.int64()), pa.array(np.add.reduceat((count > 0)[token].astype(np.int64), start)), pa.array(np.add.reduceat(value, start))], ["id", "same", "n_tokens", "n_known", "base_score"])
                 c, begun = [], i + 1
             c.append(b.column(2).slice(begun).to_numpy(zero_copy_only=False))
 
-    out = ordered.select("block", "place", "c", "ids", "same", "sizes", "tokens").mapInArrow(score, f"id {kind}, same binary, n_tokens bigint, n_known bigint, base_score double")
+    out = ordered.select("block", "place", "c", "docs", "tokens").mapInArrow(tidied(score), f"id {kind}, same binary, n_tokens bigint, n_known bigint, base_score double")
     return out.dropDuplicates(["id", "same"]), total
 
 
@@ -377,7 +385,7 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 same = [xxhash.xxh3_128_digest(x) for x in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(same, pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array(tree.value.score(texts))], ["id", "same", "n_bytes", "score"])
 
-    s = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, same binary, n_bytes bigint, score double")
+    s = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, same binary, n_bytes bigint, score double")
     b = base.select(F.col("id").alias("__id"), F.col("same").alias("__same"), "n_tokens", "n_known", "base_score")
     out = s.join(b, F.col("id").eqNullSafe(F.col("__id")) & (F.col("same") == F.col("__same")))
     bits = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)
