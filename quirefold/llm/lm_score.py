@@ -6,14 +6,15 @@ estimate, and each inner node weighs its own estimate against what its children
 data by half and half, which gives code lengths per byte that mix all depths. The training texts
 count as the past; scores are taken with the tree as it then is.
 
-Counting: each task sums its (DEPTH + 1)-byte sequences and hands them out by shards of the last
-two bytes; a group per shard adds them up. Of each depth only contexts seen at least
-total / CONTEXTS times are in the tree, so there are at most CONTEXTS of each depth at any size of
-the corpus: this is the bound of what is broadcast. Their counts are whole, and what was seen
-below them counts in the shorter contexts and, summed, as one more child.
+Counting: texts are dealt into blocks of about BLOCK bytes. A block sums its (DEPTH + 1)-byte
+sequences and its words, cut into SHARDS shards: of sequences by the last two bytes of their
+contexts, of words by their hashes. Every context seen once is in the tree, whatever the size of
+the corpus; what is gathered grows with it, and stays in the shards. Of contexts of two bytes or
+fewer, which alone have nodes in more than one shard, the weights are worked out on the driver
+and broadcast; an alphabet has only so many.
 
-Word counts have no bound and are never broadcast: each block of texts asks for the counts of its
-distinct words by a shuffle, and gets them back by block.
+Scoring: a block asks each shard for its distinct sequences and words by a shuffle, a shard
+answers with the probabilities and counts, and the block's texts are scored where the answers meet.
 
 Cases: null counts as an empty text, which is one end token and one end byte; without training
 texts all words are unknown and every bit has one half; repeated rows count as often as they
@@ -23,21 +24,22 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordHashes, bounded_batches, chunks, keep, tidied, utf8
+from quirefold.llm.common import WordHashes, bounded_batches, chunks, keep, runs_of, tidied, utf8
 
 DEPTH = 5
-CONTEXTS = 1 << 20
-SHARDS = 64
+SPLIT = 2  # contexts of so many bytes share a shard
+SHARDS = 256
+BLOCK = 32 << 20
 END = 0xFF  # not a byte of UTF-8
 _KEPT = 0xFE  # in the table of sequences, says that the context itself is in the tree
 
@@ -73,6 +75,28 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+class Sums:
+    """Counts by key, added up as they come; memory follows the distinct keys."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.late: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.late.append((keys, n))
+        self.size += len(keys)
+        if self.size > max(2_000_000, len(self.keys)):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and their sums so far."""
+        if self.late:
+            self.keys, self.n = summed(np.concatenate([self.keys, *[x for x, _ in self.late]]), np.concatenate([self.n, *[y for _, y in self.late]]))
+            self.late, self.size = [], 0
+        return self.keys, self.n
+
+
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov estimate of a zeros and b ones."""
     return _gamma(a + 0.5) + _gamma(b + 0.5) - _gamma(a + b + 1.0) - np.log(np.pi)
@@ -88,64 +112,93 @@ def _gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
-class Tree:
-    """The trees of all eight bits, as sorted nodes per depth and bit, and a hash table of whole sequences."""
+def _cut(keys: np.ndarray, d: int) -> np.ndarray:
+    """(context of d bytes << 8 | byte)."""
+    return keys >> np.uint64(8 * (DEPTH - d + 1)) << np.uint64(8) | keys & np.uint64(0xFF)
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        """grams: for each depth 0..DEPTH the sorted (context << 8 | byte) and their counts."""
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in grams]
-        bits = [np.zeros(len(k)) for k, _ in grams]
+
+def _grams(keys: np.ndarray, n: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth first..DEPTH the sorted (context << 8 | byte) and their counts."""
+    return [summed(_cut(keys, d), n) for d in range(first, DEPTH + 1)]
+
+
+def _nodes(grams: list, level: int) -> list[tuple[np.ndarray, ...]]:
+    """For each depth: node keys, their zeros and ones, and for each sequence its node and bit."""
+    shift = np.uint64(8 - level)
+    depth = []
+    for keys, n in grams:
+        node, one = keys >> shift, (keys >> (shift - np.uint64(1)) & np.uint64(1)).astype(bool)
+        fresh = np.concatenate([[True], node[1:] != node[:-1]]) if len(node) else np.zeros(0, bool)
+        first, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        add = lambda v, first=first: np.add.reduceat(v, first) if len(first) else v[:0]
+        depth.append((node[first], add(np.where(one, 0, n)).astype(float), add(np.where(one, n, 0)).astype(float), of, one))
+    return depth
+
+
+def _parent(node: np.ndarray, level: int) -> np.ndarray:
+    """Keys of the nodes whose context is a byte shorter."""
+    return node >> np.uint64(level + 8) << np.uint64(level) | node & np.uint64((1 << level) - 1)
+
+
+def _up(depth: list, level: int, whole: np.ndarray | None = None) -> tuple[list, list, np.ndarray]:
+    """Places of the parents, weights of the nodes' own estimates, and what the shortest contexts make of all their data; whole: what the longest do."""
+    parents: list = [None] + [np.searchsorted(depth[d - 1][0], _parent(depth[d][0], level)) for d in range(1, len(depth))]
+    own: list = [None] * len(depth)
+    if whole is None:
+        whole = _kt(depth[-1][1], depth[-1][2])
+    for d in range(len(depth) - 2, -1, -1):
+        mine = _kt(depth[d][1], depth[d][2])
+        whole = np.logaddexp(mine, np.bincount(parents[d + 1], whole, len(mine))) - np.log(2)
+        own[d] = np.exp(np.minimum(mine - np.log(2) - whole, 0))
+    return parents, own, whole
+
+
+def _down(depth: list, parents: list, own: list, given: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: the probability of a one if no longer context is known, what shorter contexts contribute, and the weight that is left."""
+    for d, (_, a, b, *_) in enumerate(depth):
+        if d:
+            p = parents[d]
+            given, left = (given + left * own[d - 1] * estimate)[p], (left * (1 - own[d - 1]))[p]  # noqa: F821
+        estimate = (b + 0.5) / (a + b + 1)
+        yield np.clip(given + left * estimate, 1e-9, 1 - 1e-9), given, left
+
+
+class Top:
+    """The contexts of up to SPLIT bytes, whose nodes are in several shards."""
+
+    def __init__(self, parts: list[list[tuple[np.ndarray, ...]]]):
+        """parts: of each shard, for each level, the nodes of SPLIT bytes: keys, zeros, ones, what they make of all their data."""
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(SPLIT)]
+        self.inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for level in range(8):
-            for d, (keys, p, of, one) in enumerate(self._level(grams, level)):
-                self.nodes[d].append((keys, p.astype(np.float32)))
-                bits[d] += np.log2(np.where(one, p[of], 1 - p[of]))
-        tag = [np.uint64(d) << np.uint64(56) for d in range(len(grams))]
-        keys, values = [], []
-        for d, (k, _) in enumerate(grams):
-            c = np.unique(k >> np.uint64(8)) << np.uint64(8)
-            keys += [k | tag[d], c | np.uint64(_KEPT) | tag[d]]
-            values += [bits[d], np.zeros(len(c))]
-        self._table(np.concatenate(keys), np.concatenate(values).astype(np.float32))
+            keys = np.concatenate([np.zeros(0, np.uint64), *[p[level][0] for p in parts]])
+            order = np.argsort(keys)
+            a, b, whole = (np.concatenate([np.zeros(0), *[p[level][i] for p in parts]])[order] for i in (1, 2, 3))
+            depth: list = [(keys[order], a, b)]
+            for _ in range(SPLIT):
+                k, back = np.unique(_parent(depth[0][0], level), return_inverse=True)
+                depth.insert(0, (k, *(np.bincount(back, x, len(k)) for x in depth[0][1:])))
+            parents, own, _ = _up(depth, level, whole)
+            root = np.zeros(len(depth[0][0]))
+            for d, (p, given, left) in enumerate(_down(depth, parents, own, root, root + 1)):
+                if d < SPLIT:
+                    self.nodes[d].append((depth[d][0], p.astype(np.float32)))
+            self.inner.append((depth[SPLIT][0], given, left))
 
     @staticmethod
-    def _level(grams: list, level: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each depth: node keys, probability of a one there if no longer context is known, and for each sequence its node and bit."""
-        shift = np.uint64(8 - level)
-        depth = []
-        for keys, n in grams:
-            node, one = keys >> shift, (keys >> (shift - np.uint64(1)) & np.uint64(1)).astype(bool)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, int)
-            add = lambda v, first=first: np.add.reduceat(v, first) if len(first) else v[:0]
-            of = np.cumsum(np.concatenate([[True], node[1:] != node[:-1]])) - 1 if len(node) else first
-            depth.append([node[first], add(np.where(one, 0, n)).astype(float), add(np.where(one, n, 0)).astype(float), of, one])
-        # from the leaves up: the weight of a node's own estimate
-        low = np.uint64((1 << level) - 1)
-        parents, own = [None], [None] * len(depth)
-        for d in range(1, len(depth)):
-            k = depth[d][0]
-            up = k >> np.uint64(level + 8) << np.uint64(level) | k & low
-            parents.append(np.searchsorted(depth[d - 1][0], up))
-        whole = _kt(depth[-1][1], depth[-1][2])
-        for d in range(len(depth) - 2, -1, -1):
-            _, a, b, *_ = depth[d]
-            p, m = parents[d + 1], len(a)
-            rest_a = a - np.bincount(p, depth[d + 1][1], m)
-            rest_b = b - np.bincount(p, depth[d + 1][2], m)
-            mine = _kt(a, b)
-            children = np.bincount(p, whole, m) + _kt(rest_a, rest_b)
-            whole = np.logaddexp(mine, children) - np.log(2)
-            own[d] = np.exp(np.minimum(mine - np.log(2) - whole, 0))
-        # from the root down: what shorter contexts contribute, and the weight that is left
-        out, given, left = [], np.zeros(len(depth[0][0])), np.ones(len(depth[0][0]))
-        for d, (k, a, b, of, one) in enumerate(depth):
-            if d:
-                p = parents[d]
-                given, left = (given + left * own[d - 1] * estimate)[p], (left * (1 - own[d - 1]))[p]
-            estimate = (b + 0.5) / (a + b + 1)
-            out.append((k, np.clip(given + left * estimate, 1e-9, 1 - 1e-9), of, one))
+    def part(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """A shard's nodes of SPLIT bytes, of its whole sequences."""
+        grams, out = _grams(keys, n, SPLIT), []
+        for level in range(8):
+            depth = _nodes(grams, level)
+            out.append((*depth[0][:3], _up(depth, level)[2]))
         return out
 
-    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
+
+class Table:
+    """A hash table of distinct keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(10, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.values = np.zeros(1 << self.bits, np.float32)
@@ -161,7 +214,7 @@ class Tree:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values and whether each key is there."""
         slot = self._slot(keys)
         got = self.keys[slot]
@@ -177,16 +230,46 @@ class Tree:
             wait = wait[~hit & (got != np.uint64(0xFFFFFFFFFFFFFFFF))]
         return value, found
 
+
+class Tree:
+    """The trees of all eight bits, as sorted nodes per depth and bit, and a hash table of whole sequences; with a top, those of one shard."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, top: Top | None = None):
+        """keys, n: distinct whole sequences in order and their counts."""
+        start = SPLIT if top else 0
+        grams = _grams(keys, n, start)
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [*(top.nodes if top else []), *[[] for _ in grams]]
+        bits = [np.zeros(len(k)) for k, _ in grams]
+        for level in range(8):
+            depth = _nodes(grams, level)
+            parents, own, _ = _up(depth, level)
+            given, left = np.zeros(len(depth[0][0])), np.ones(len(depth[0][0]))
+            if top:
+                inner, given, left = top.inner[level]
+                at = np.searchsorted(inner, depth[0][0])
+                given, left = given[at], left[at]
+            for d, (p, *_) in enumerate(_down(depth, parents, own, given, left)):
+                node, _, _, of, one = depth[d]
+                self.nodes[start + d].append((node, p.astype(np.float32)))
+                bits[d] += np.log2(np.where(one, p[of], 1 - p[of]))
+        names, values = [], []
+        for d, (k, _) in enumerate(grams):
+            tag = np.uint64(start + d) << np.uint64(56)
+            c = np.unique(k >> np.uint64(8)) << np.uint64(8)
+            names += [k | tag, c | np.uint64(_KEPT) | tag]
+            values += [bits[d], np.zeros(len(c))]
+        self.table = Table(np.concatenate(names), np.concatenate(values).astype(np.float32))
+
     def log2(self, keys: np.ndarray) -> np.ndarray:
         """log2 of the probability of each byte after its context."""
         out = np.zeros(len(keys))
         wait, odd = np.arange(len(keys)), []
         for d in range(len(self.nodes) - 1, -1, -1):
-            k = self._cut(keys[wait], d) | np.uint64(d) << np.uint64(56)
-            value, found = self._find(k)
+            k = _cut(keys[wait], d) | np.uint64(d) << np.uint64(56)
+            value, found = self.table.find(k)
             out[wait[found]] = value[found]
             wait, k = wait[~found], k[~found]
-            _, known = self._find(k & ~np.uint64(0xFF) | np.uint64(_KEPT))
+            _, known = self.table.find(k & ~np.uint64(0xFF) | np.uint64(_KEPT))
             odd.append(wait[known])
             wait = wait[~known]
             if not len(wait):
@@ -198,11 +281,6 @@ class Tree:
             out[at] = self._by_bits(distinct)[back]
         return out
 
-    @staticmethod
-    def _cut(keys: np.ndarray, d: int) -> np.ndarray:
-        """(context of d bytes << 8 | byte)."""
-        return keys >> np.uint64(8 * (DEPTH - d + 1)) << np.uint64(8) | keys & np.uint64(0xFF)
-
     def _by_bits(self, keys: np.ndarray) -> np.ndarray:
         """Each bit at the longest context whose tree has its node; one half where none has."""
         total = np.zeros(len(keys))
@@ -212,7 +290,7 @@ class Tree:
                 node, prob = self.nodes[d][level]
                 if not len(node):
                     continue
-                k = self._cut(keys, d) >> np.uint64(8 - level)
+                k = _cut(keys, d) >> np.uint64(8 - level)
                 i = np.minimum(np.searchsorted(node, k), len(node) - 1)
                 new = (node[i] == k) & ~done
                 p[new] = prob[i[new]]
@@ -231,162 +309,194 @@ def _lowered(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterato
     yield from chunks((x.lower() for x in utf8(batch.column(column))), most)
 
 
+def _rows(block: int, what: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A block's keys and counts, a row per shard; shards follow the order of the words."""
+    shard = (keys >> np.uint64(56)).astype(np.int64) if what else _shard(keys)
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+    rows = [(s, packed(np.diff(keys[order[i:j]], prepend=np.uint64(0)).astype("<u8")), packed(n[order[i:j]].astype("<u4")), bool(n[order[i:j]].any())) for s, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if j > i]
+    shards, k, c, learned = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([what] * len(rows), pa.int32()), pa.array(shards, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(learned), *[pa.nulls(len(rows), pa.binary())] * 2], _BLOCKS)
+
+
+def _shard(keys: np.ndarray) -> np.ndarray:
+    shard = (keys >> np.uint64(8 * (DEPTH + 1 - SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return (shard % np.uint64(SHARDS)).astype(np.int64)
+
+
+def _keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, "<u8"), dtype=np.uint64)
+
+
+_BLOCKS = ["block", "what", "shard", "keys", "n", "learned", "docs", "texts"]
+_BLOCK_TYPES = "block bigint, what int, shard int, keys binary, n binary, learned boolean, docs binary, texts binary"
+_SEQUENCES, _WORDS = 0, 1
+
+
+def blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    """Per block of texts a row of its documents, and a row per shard of its distinct sequences and of its words, with their counts in texts where train holds."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, number = WordHashes(), TaskContext.get().partitionId() << 32
+        held, texts, size, parts = {_SEQUENCES: Sums(), _WORDS: Sums()}, [], 0, []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            for what, sums in held.items():
+                yield _rows(number, what, *sums.all())
+            ids = pa.chunked_array(parts).combine_chunks()
+            docs = _stream(ids, np.array([len(x) for x in texts]))
+            body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 2, pa.nulls(1, pa.bool_()), pa.array([docs], pa.binary()), pa.array([body], pa.binary())], _BLOCKS)
+
+        for b in batches:
+            learns = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for at, some in _lowered(b, 1):
+                for learn in (True, False):
+                    those = [x for x, y in zip(some, learns[at : at + len(some)], strict=True) if y == learn]
+                    if those:
+                        for what, keys in ((_SEQUENCES, sequences(those)), (_WORDS, seen.of([w for x in those for w in (*x.split(), b"")]))):  # the empty word is the end
+                            keys.sort()
+                            cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                            held[what].add(keys[cut], np.diff(cut, append=len(keys)) * learn)
+                texts += some
+                parts.append(b.column(0).slice(at, len(some)))
+                size += sum(map(len, some))
+                if size >= BLOCK:
+                    yield from block()
+                    number += 1
+                    held, texts, size, parts = {_SEQUENCES: Sums(), _WORDS: Sums()}, [], 0, []
+        if texts:
+            yield from block()
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
+    return keep(rows.mapInArrow(tidied(run), _BLOCK_TYPES), "uncompressed")
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """By keys into as many partitions as are set: their bytes are few for the work in them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def learned(parts: DataFrame) -> DataFrame:
+    """(what, shard, keys, n, total, distinct, top): the sums of all blocks; top: a shard's nodes of SPLIT bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, ["what", "shard"]):
+            sums = Sums()
+            for k, n in zip(t.column("keys"), t.column("n"), strict=True):
+                n = unpacked(n.as_py(), "<u4").astype(np.int64)
+                sums.add(_keys(k.as_py())[n > 0], n[n > 0])
+            keys, n = sums.all()
+            what = t.column("what")[0].as_py()
+            top = pickle.dumps(Top.part(keys, n)) if what == _SEQUENCES else None
+            row = [what], [t.column("shard")[0].as_py()], [packed(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))], [packed(n.astype("<i8"))], [int(n.sum())], [len(n)], [top]
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["what", "shard", "keys", "n", "total", "distinct", "top"])
+
+    d = _dealt(parts.filter("learned").select("what", "shard", "keys", "n"), "what", "shard").sortWithinPartitions("what", "shard")
+    return keep(d.mapInArrow(tidied(run), "what int, shard int, keys binary, n binary, total bigint, distinct bigint, top binary"), "uncompressed")
+
+
+def _top(model: DataFrame) -> Top:
+    return Top([pickle.loads(r.top) for r in model.filter("top is not null").select("top").toLocalIterator()])
+
+
 def grow(train: DataFrame) -> Tree:
-    """The tree of all rows of train (text)."""
-    bounded_batches(train.sparkSession)
+    """The tree of all rows of train (text) in one piece, in this process; scored() leaves it in its shards."""
+    sums = Sums()
+    for r in learned(blocks(train, F.lit(True), "text", "text")).filter(F.col("what") == _SEQUENCES).toLocalIterator():
+        sums.add(_keys(r["keys"]), unpacked(r["n"], "<i8"))
+    return Tree(*sums.all())
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, late, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+def answered(parts: DataFrame, model: DataFrame) -> DataFrame:
+    """(block, what, shard, keys, got): log2 of the probabilities of a block's sequences, and how often its words were learned."""
+    top = parts.sparkSession.sparkContext.broadcast(_top(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, n, tree = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
         for b in batches:
-            for _, texts in _lowered(b, 0):
-                k = np.sort(sequences(texts))
-                cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                late.append((k[cut], np.diff(cut, append=len(k))))
-                size += len(cut)
-                if size > max(2_000_000, len(keys)):
-                    keys, n = summed(np.concatenate([keys, *[x for x, _ in late]]), np.concatenate([n, *[y for _, y in late]]))
-                    late, size = [], 0
-        keys, n = summed(np.concatenate([keys, *[x for x, _ in late]]), np.concatenate([n, *[y for _, y in late]]))
-        if len(keys):
-            shard = (keys >> np.uint64(8 * (DEPTH - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-            shard = (shard % np.uint64(SHARDS)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-            rows = [(s, packed(np.diff(keys[order[i:j]], prepend=np.uint64(0)).astype("<u8")), packed(n[order[i:j]].astype("<u4")), int(n[order[i:j]].sum())) for s, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "keys", "n", "total"])
-
-    parts = keep(train.select("text").mapInArrow(tidied(count), "shard int, keys binary, n binary, total bigint"), "uncompressed")
-    total = parts.agg(F.sum("total")).first()[0] or 0
-    least = max(1, -(-total // CONTEXTS))
-
-    def add(t: pa.Table) -> pa.Table:
-        k = np.concatenate([np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in t.column("keys").to_pylist()])
-        n = np.concatenate([unpacked(x, "<u4") for x in t.column("n").to_pylist()]).astype(np.int64)
-        k, n = summed(k, n)
-        out = []
-        for d in range(DEPTH, 1, -1):
-            kd, nd = summed(Tree._cut(k, d), n)
-            if d > 2:
-                c = kd >> np.uint64(8)
-                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                sums = np.repeat(np.add.reduceat(nd, first), np.diff(first, append=len(c)))
-                kd, nd = kd[sums >= least], nd[sums >= least]
-            if len(kd):
-                out.append((d, kd.astype("<u8").tobytes(), nd.astype("<i8").tobytes()))
-        return pa.table({"d": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.binary())})
-
-    got: list[tuple[list, list]] = [([], []) for _ in range(DEPTH + 1)]
-    for r in parts.groupBy("shard").applyInArrow(add, "d int, keys binary, n binary").toLocalIterator():
-        got[r.d][0].append(np.frombuffer(r.keys, "<u8"))
-        got[r.d][1].append(np.frombuffer(r.n, "<i8"))
-    grams = [summed(np.concatenate([np.zeros(0, np.uint64), *k]), np.concatenate([np.zeros(0, np.int64), *n])) for k, n in got]
-    for d in (1, 0):  # two bytes or fewer are whole in any case
-        k, n = grams[d + 1]
-        grams[d] = summed(k >> np.uint64(16) << np.uint64(8) | k & np.uint64(0xFF), n)
-    for d in (2, 1):  # and pruned like the others once the shorter ones are summed
-        k, n = grams[d]
-        if len(k):
-            c = k >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            sums = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(c)))
-            grams[d] = (k[sums >= least], n[sums >= least])
-    return Tree(grams)
-
-
-def _stream(ids: pa.Array, same: list[bytes], size: np.ndarray) -> bytes:
+            for block, what, shard, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (what, shard) != now:
+                    now, keys, n, tree = (what, shard), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+                if block is None:
+                    keys, n = _keys(k), unpacked(c, "<i8")
+                    continue
+                asked = _keys(k)
+                if what == _WORDS:
+                    at = np.searchsorted(keys, asked)
+                    known = np.concatenate([keys, [np.uint64(0)]])[at] == asked
+                    got = np.where(known & (at < len(keys)), np.concatenate([n, [0]])[at], 0).astype("<i8")
+                    k = None
+                else:
+                    tree = tree or Tree(keys, n, top.value)
+                    got = tree.log2(asked).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([what], pa.int32()), pa.array([shard], pa.int32()), pa.array([k], pa.binary()), pa.array([packed(got)], pa.binary())], ["block", "what", "shard", "keys", "got"])
+
+    asks = parts.filter("what is not null").select("block", "what", "shard", "keys", F.lit(None).cast("binary").alias("n"))
+    both = model.select(F.lit(None).cast("bigint").alias("block"), "what", "shard", "keys", "n").unionByName(asks)
+    ordered = _dealt(both, "what", "shard").sortWithinPartitions("what", "shard", F.col("block").asc_nulls_first())
+    return ordered.mapInArrow(tidied(run), "block bigint, what int, shard int, keys binary, got binary")
+
+
+def _stream(ids: pa.Array, size: np.ndarray) -> bytes:
     """A block's documents as one value."""
-    rows = pa.RecordBatch.from_arrays([ids, pa.array(same, pa.binary()), pa.array(size, pa.int64())], ["id", "same", "size"])
+    rows = pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64())], ["id", "size"])
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, rows.schema) as writer:
         writer.write_batch(rows)
     return out.getvalue().to_pybytes()
 
 
-def words_scored(df: DataFrame, train: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(id, same, n_tokens, n_known, base_score) of each distinct (id, text), and all training tokens."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, part, number = WordHashes(), TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            learns = b.column(2).to_numpy(zero_copy_only=False)
-            for at, texts in _lowered(b, 1, 8 << 20):
-                h = [seen.of([*x.split(), b""]) for x in texts]  # the empty word is the end
-                size = np.array([len(x) for x in h])
-                distinct, token = np.unique(np.concatenate(h), return_inverse=True)
-                learn = np.repeat(learns[at : at + len(texts)], size)
-                n = np.bincount(token[learn], minlength=len(distinct))
-                often = np.argsort(-np.bincount(token, minlength=len(distinct)), kind="stable")  # small numbers for frequent words
-                place = np.empty(len(often), np.int32)
-                place[often] = np.arange(len(often), dtype=np.int32)
-                m = len(distinct)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(m, part + number)), pa.array(np.arange(m, dtype=np.int32)), pa.array(distinct[often].astype("<u8").view("<i8")), pa.array(n[often]),
-                        pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()),
-                    ],
-                    names,
-                )
-                same = [xxhash.xxh3_128_digest(x) for x in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part + number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]),
-                        pa.array([_stream(b.column(0).slice(at, len(texts)), same, size)], pa.binary()), pa.array([packed(place[token].astype("<u4"))], pa.binary()),
-                    ],
-                    names,
-                )
-                number += 1
-
-    names = ["block", "place", "h", "n", "docs", "tokens"]  # no lists: Spark sums up their sizes anew for every row of a batch
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("learn"))
-    t = keep(rows.mapInArrow(tidied(count), "block bigint, place int, h bigint, n bigint, docs binary, tokens binary"), "zstd")
-    asked = t.filter("h is not null")
-    counts = keep(asked.filter("n > 0").groupBy("h").agg(F.sum("n").alias("c")))
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    total, below = total or 0, (total or 0) + 0.5 * (distinct + 1)
-    answers = asked.select("block", "place", "h").join(counts, "h", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"))
-    both = answers.unionByName(t.filter("h is null").select("block", "docs", "tokens"), allowMissingColumns=True)
-    ordered = both.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: list[np.ndarray] = []
-        for b in batches:
-            begun = 0
-            for i in np.flatnonzero(~b.column(4).is_null().to_numpy(zero_copy_only=False)):
-                c.append(b.column(2).slice(begun, i - begun).to_numpy(zero_copy_only=False))
-                held = pa.ipc.open_stream(b.column(3)[i].as_py()).read_all()
-                ids, same, size = held.column(0).combine_chunks(), held.column(1).combine_chunks(), held.column(2).to_numpy()
-                count, token = np.concatenate(c), unpacked(b.column(4)[i].as_py(), "<u4")
-                start = np.cumsum(size) - size
-                value = np.log10((count + 0.5) / below)[token]
-                yield pa.RecordBatch.from_arrays([ids, same, pa.array(size, pa.int64()), pa.array(np.add.reduceat((count > 0)[token].astype(np.int64), start)), pa.array(np.add.reduceat(value, start))], ["id", "same", "n_tokens", "n_known", "base_score"])
-                c, begun = [], i + 1
-            c.append(b.column(2).slice(begun).to_numpy(zero_copy_only=False))
-
-    out = ordered.select("block", "place", "c", "docs", "tokens").mapInArrow(tidied(score), f"id {kind}, same binary, n_tokens bigint, n_known bigint, base_score double")
-    return out.dropDuplicates(["id", "same"]), total
-
-
 def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     train: a condition on the columns of df; rows where it holds are learned from.
     """
-    spark = df.sparkSession
-    base, total = words_scored(df, train, id_col, text_col)
-    tree = spark.sparkContext.broadcast(grow(df.filter(train).select(F.col(text_col).alias("text"))))
     kind = df.schema[id_col].dataType.simpleString()
+    parts = blocks(df, train, id_col, text_col)
+    model = learned(parts)
+    total, distinct = model.filter(F.col("what") == _WORDS).agg(F.sum("total"), F.sum("distinct")).first()
+    total, below = total or 0, (total or 0) + 0.5 * ((distinct or 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, values, counts = WordHashes(), [], [], []
         for b in batches:
-            for at, texts in _lowered(b, 1):
-                same = [xxhash.xxh3_128_digest(x) for x in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(same, pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array(tree.value.score(texts))], ["id", "same", "n_bytes", "score"])
-
-    s = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, same binary, n_bytes bigint, score double")
-    b = base.select(F.col("id").alias("__id"), F.col("same").alias("__same"), "n_tokens", "n_known", "base_score")
-    out = s.join(b, F.col("id").eqNullSafe(F.col("__id")) & (F.col("same") == F.col("__same")))
+            for what, k, got, docs, texts in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if what == _SEQUENCES:
+                    keys.append(_keys(k))
+                    values.append(unpacked(got, "<f4"))
+                elif what == _WORDS:
+                    counts.append(unpacked(got, "<i8"))
+                else:
+                    yield from score(seen, Table(np.concatenate(keys), np.concatenate(values)), np.concatenate(counts), docs, texts)
+                    keys, values, counts = [], [], []
+
+    def score(seen: WordHashes, table: Table, count: np.ndarray, docs: bytes, texts: bytes) -> Iterator[pa.RecordBatch]:
+        held = pa.ipc.open_stream(docs).read_all()
+        ids, size = held.column(0).combine_chunks(), held.column(1).to_numpy()
+        raw = memoryview(zstandard.ZstdDecompressor().decompress(texts))
+        end = np.cumsum(size)
+        each = [(at, some) for at, some in chunks((bytes(raw[j - n : j]) for j, n in zip(end.tolist(), size.tolist(), strict=True)), 2 << 20)]
+        h = [[seen.of([*x.split(), b""]) for x in some] for _, some in each]
+        distinct = np.unique(np.concatenate([y for x in h for y in x]))  # in the order of the shards' answers
+        value = np.log10((count + 0.5) / below)
+        for (at, some), words in zip(each, h, strict=True):
+            n = np.array([len(x) for x in words])
+            start = np.cumsum(n) - n
+            token = np.searchsorted(distinct, np.concatenate(words))
+            long = size[at : at + len(some)] + 1
+            bits, _ = table.find(sequences(some))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.slice(at, len(some)), pa.array(long - 1), pa.array(n, pa.int64()), pa.array(np.add.reduceat((count > 0)[token].astype(np.int64), start)),
+                    pa.array(np.add.reduceat(value[token], start)), pa.array(np.add.reduceat(bits.astype(np.float64), np.cumsum(long) - long) * np.log10(2)),
+                ],
+                ["id", "n_bytes", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    answers = answered(parts, model).unionByName(parts.filter("what is null").select("block", "docs", "texts"), allowMissingColumns=True)
+    ordered = _dealt(answers, "block").sortWithinPartitions("block", F.col("what").asc_nulls_last(), "shard")
+    out = ordered.select("what", "keys", "got", "docs", "texts").mapInArrow(tidied(run), f"id {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     bits = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)
     return out.select("id", "n_bytes", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

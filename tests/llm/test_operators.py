@@ -249,6 +249,52 @@ def test_word_scores(odd, empty):
     assert unlearned.n_known == 0 and math.isclose(unlearned.bits_per_byte, 8, rel_tol=1e-6)
 
 
+def test_rare_contexts_count_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 1 << 18)
+    rng = random.Random(6)
+    often, times, rare = [" ".join(words(rng, 8, 40)) for _ in range(20)], 3000, "Zyx\u00e9 quorl vex"
+    rows = [(i, often[i % 20]) for i in range(20 * times)] + [(-1, rare), (-2, "quorl zyx w1"), (-3, rare)]
+    assert sum(len(t) + 1 for _, t in rows) > 1 << 20
+    d = docs(spark, rows).repartition(3)
+    got = {r.id: r for r in lm_score.scored(d, lm_score.F.col("doc_id") >= -1).filter("id < 20").collect()}
+    n, depth = Counter(), lm_score.DEPTH
+    for texts, k in ((often, times), ([rare], 1)):
+        for key, x in slow_tree([t.lower().encode() for t in texts], depth).items():
+            n[key] += x * k
+    below = {}
+    for c, node, _ in n:
+        below.setdefault((c[1:], node), set()).add(c) if c else None
+
+    def weighted(c, node):
+        a, b = n[c, node, 0], n[c, node, 1]
+        return kt(a, b) if len(c) == depth else np.logaddexp(kt(a, b), sum(weighted(x, node) for x in below[c, node])) - math.log(2)
+
+    known = {}
+
+    def one(raw, i, node):
+        p, left = 0.0, 1.0
+        for d in range(depth + 1):
+            c, longer = raw[i - d : i], raw[i - d - 1 : i]
+            a, b = n[c, node, 0], n[c, node, 1]
+            own = (b + 0.5) / (a + b + 1)
+            if d == depth or not n[longer, node, 0] + n[longer, node, 1]:
+                return p + left * own
+            if (c, node) not in known:
+                known[c, node] = math.exp(kt(a, b) - math.log(2) - weighted(c, node))
+            p, left = p + left * known[c, node] * own, left * (1 - known[c, node])
+
+    for i, text in [(-1, rare), (-2, "quorl zyx w1"), (-3, rare), (7, often[7])]:
+        raw, bits = b"\xff" * depth + text.lower().encode() + b"\xff", 0.0
+        for j in range(depth, len(raw)):
+            node = 1
+            for k in range(7, -1, -1):
+                bit = raw[j] >> k & 1
+                p = one(raw, j, node)
+                bits += math.log2(p if bit else 1 - p)
+                node = node * 2 + bit
+        assert math.isclose(got[i].score, bits * math.log10(2), rel_tol=1e-4)
+
+
 # WARC
 
 
