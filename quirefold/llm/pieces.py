@@ -220,7 +220,10 @@ class Model:
         end = start + self.length[piece]
         unit = np.repeat(np.arange(len(units)), size + 1)
         offset = end - begin[unit[start]]
-        order = np.argsort(offset << 44 | end << 12 | 4095 - self.length[piece])
+        if offset.max(initial=0) < 1 << 19 and len(text) < 1 << 32 and self.longest < 1 << 12:
+            order = np.argsort(offset << 44 | end << 12 | 4095 - self.length[piece])
+        else:  # the three don't fit into one word
+            order = np.lexsort((-self.length[piece], end, offset))
         start, piece, end, offset = start[order], piece[order], end[order], offset[order]
         fresh = np.concatenate([[True], end[1:] != end[:-1]]) if len(end) else np.zeros(0, bool)
         heads = np.flatnonzero(fresh)

@@ -130,6 +130,12 @@ def test_pieces_equal_the_library_and_read_back(spark, odd, empty):
     assert s.count() == len(ROWS) and s.filter("not same").count() == 0 and pieces.summary(empty, PIECES).count() == 0
 
 
+def test_a_word_of_600_000_characters_equals_the_library():
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    word = "".join(random.Random(8).choices("abcdefghilmnorstuTHE+/0123456789é語", k=600_000))
+    assert pieces.Encoder(pieces.Model(PIECES)).encode([word, "short words"])[0].tolist() == sp.encode(word)
+
+
 # media
 
 
