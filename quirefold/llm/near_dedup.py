@@ -19,8 +19,9 @@ With 36 bands of 5 bins, a pair at similarity 0.8 shares no band with a probabil
 
 Cases: null and wordless texts have an empty set, are linked with nothing and stay; texts with
 fewer words than k are one shingle, the whole sequence; rows that repeat an id form one document
-if their texts agree and are told apart by nothing else; null ids are documents of no class; an
-empty table gives an empty result; other columns pass through dedup().
+if their sets agree, else documents of their own under that id, of which dedup() removes rows by
+id and text; null ids are documents of no class; an empty table gives an empty result; other
+columns pass through dedup().
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def shingle_sets(texts: list[bytes], k: int, seen: WordHashes) -> list[np.ndarra
 
 
 def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, same, bands, counts): the set's size, 128 bits that equal sets share, band keys, and how many shingles fall into each of HISTOGRAM parts."""
+    """(id, key, n, same, bands, counts): a hash of the text, the set's size, 128 bits that equal sets share, band keys, and how many shingles fall into each of HISTOGRAM parts."""
     bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -89,13 +90,13 @@ def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 lists: list = [None] * len(sets)
                 for i, row in zip(full, keys, strict=True):
                     lists[i] = row
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM).astype("<u4" if len(x) > 60_000 else "<u2").tobytes() for x in sets], pa.binary())], ["id", "n", "same", "bands", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM).astype("<u4" if len(x) > 60_000 else "<u2").tobytes() for x in sets], pa.binary())], ["id", "key", "n", "same", "bands", "counts"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n bigint, same binary, bands array<bigint>, counts binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(tidied(run), f"id {kind}, key bigint, n bigint, same binary, bands array<bigint>, counts binary")
 
 
-def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """(id, items): the sorted shingle hashes of the documents named in ids."""
+def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
+    """(id, items): the sorted shingle hashes of the representatives in names (node, rep, same), which go by their nodes."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +104,12 @@ def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, ids: DataFrame)
         for b in batches:
             for at, texts in chunks(utf8(b.column(1)), 2 << 20):
                 items = [s.astype("<u8").tobytes() for s in shingle_sets(texts, k, seen)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(items, pa.binary())], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array(items, pa.binary())], ["rep", "same", "items"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids_hint(ids, ids.count()), "id", "left_semi")
-    return keep(rows.mapInArrow(tidied(run), f"id {kind}, items binary").dropDuplicates(["id"]), "uncompressed")
+    few = names.count()
+    rows = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(ids_hint(names.select("rep").distinct(), few), "rep", "left_semi")
+    sets = rows.mapInArrow(tidied(run), f"rep {kind}, same binary, items binary").dropDuplicates(["rep", "same"])
+    return keep(sets.join(ids_hint(names, few), ["rep", "same"]).select(F.col("node").alias("id"), "items"), "uncompressed")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,12 +132,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n (the set's size), root (smallest id that links lead to)."""
+    return _grouped(df, k, percent, id_col, text_col).select("id", "n", "root")
+
+
+def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """groups() with key (a hash of the text) and gone: whether another document stands for the row."""
     s = keep(sketched(df, k, id_col, text_col), "zstd")
     full = s.filter("same is not null")
     total = s.count()
     facts = keep(full.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
-    members = keep(join_facts(full.select("id", "n", "same"), facts, "same", "rows", total).select("id", "n", "rep"))
-    reps = full.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]) if total else full
+    # an id may stand for several classes, so that links go by a number of the class, in the order of ids
+    facts = keep(facts.orderBy("rep", "same").withColumn("node", F.monotonically_increasing_id()))
+    members = keep(join_facts(full.select("id", "key", "n", "same"), facts, "same", "rows", total).select("id", "key", "n", "rep", "node"))
+    names = facts.filter("rep is not null").select("rep", "same", "node")
+    reps = full.withColumnRenamed("id", "rep").join(names, ["rep", "same"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "n", "bands", "counts")
     keyed = keep(reps.select("id", "n", F.explode("bands").alias("band")), "zstd")
     buckets = keep(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
     inside = keep(keyed.join(buckets, "band").select("band", "hub", "size", "id", "n"), "zstd")
@@ -148,7 +159,7 @@ def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     star = keep(sized(inside.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))))
     wide = inside.filter("size > 2")
     ids = keep(star.select(F.col("a").alias("id")).union(star.select("b")).union(wide.select("id")).distinct())
-    sets = full_sets(df, k, id_col, text_col, ids)
+    sets = full_sets(df, k, id_col, text_col, keep(names.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")))
 
     # each document with the hub that it shares most bands with, then what is still apart
     best = star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
@@ -168,8 +179,9 @@ def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     links = keep(links.union(confirmed(pairs, sets, percent)))
     roots = components(links)
 
-    rooted = _rooted(members, roots, "rep", "root").select("id", "n", "root")
-    return rooted.unionByName(s.filter("same is null").select("id", "n", F.col("id").alias("root")))
+    linked = roots.join(names.select(F.col("node").alias("root"), F.col("rep").alias("first")), "root").select(F.col("id").alias("node"), "first")
+    rooted = members.join(linked, "node", "left").select("id", "key", "n", F.coalesce("first", "rep").alias("root"), (F.col("first").isNotNull() | (F.col("id") != F.col("rep"))).alias("gone"))
+    return rooted.unionByName(s.filter("same is null").select("id", "key", "n", F.col("id").alias("root"), F.lit(False).alias("gone")))
 
 
 def _possible(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -227,5 +239,6 @@ def _different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each group the document with the smallest id."""
-    gone = keep(groups(df, k, percent, id_col, text_col).filter("id <> root").select(F.col("id").alias(id_col)).distinct())
-    return df.join(ids_hint(gone, gone.count()), id_col, "left_anti")
+    g = _grouped(df, k, percent, id_col, text_col)
+    gone = keep(g.filter("gone and id is not null").select(F.col("id").alias("__qf_id"), F.col("key").alias("__qf_key")).distinct())
+    return df.join(ids_hint(gone, gone.count()), (F.col(id_col) == F.col("__qf_id")) & (F.xxhash64(text_col) == F.col("__qf_key")), "left_anti")

@@ -368,6 +368,19 @@ def test_near_dedup_of_odd_rows(odd, empty):
     assert near_dedup.dedup(odd, k=2).columns and near_dedup.groups(empty).count() == 0 and near_dedup.dedup(empty).count() == 0
 
 
+def test_near_duplicates_under_one_id_are_told_apart(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80, 10**6) for _ in range(3))
+    copy = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (2, copy(a)), (3, copy(b)), (4, " ".join(c)), (4, copy(c)), (4, None), (None, copy(c))]
+    d = docs(spark, rows)
+    got = sorted((r.id or -1, r.root or -1) for r in near_dedup.groups(d, k=2).filter("n > 0").collect())
+    assert got == [(-1, 4), (1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4)]
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.dedup(d, k=2).collect())
+    assert kept[4, " ".join(c)] + kept[4, copy(c)] == 1
+    assert {x for x in kept if x[0] != 4 or x[1] is None} == {(1, " ".join(a)), (2, " ".join(b)), (4, None), (None, copy(c))}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
