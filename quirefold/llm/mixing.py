@@ -84,13 +84,19 @@ def shares(docs: DataFrame, weights, share: float = 1.0, max_epochs: float = 3.0
 def mix(docs: DataFrame, weights, id_col: str = "doc_id", **how) -> DataFrame:
     """The mix itself: every row of docs as often as its document is taken, all columns kept."""
     s = shares(docs, weights, id_col=id_col, **how)
-    # rows that share id and source and size are taken equally often on average: the counts of their rows add up
+    # rows that share id and source and size are taken equally often, up to one: the counts of their rows add up and are dealt out again
     one = s.groupBy("id", "source", "size").agg(F.sum("repeats").alias("sum"), F.count("*").alias("rows"))
-    one = one.select(F.col("id").alias("__qf_id"), F.col("source").alias("__qf_source"), F.col("size").alias("__qf_size"), F.expr("sum div rows").alias("__qf_times"))
+    one = keep(one.select(F.col("id").alias("__qf_id"), F.col("source").alias("__qf_source"), F.col("size").alias("__qf_size"), F.expr("sum div rows").alias("__qf_times"), F.expr("sum % rows").alias("__qf_rest")))
     size = words(F.col(how.get("text_col", "text")))
     on = F.col(id_col).eqNullSafe(F.col("__qf_id")) & F.col(how.get("source_col", "source")).eqNullSafe(F.col("__qf_source")) & (size == F.col("__qf_size"))
     rows = docs.join(one.filter("__qf_times > 0"), on)
-    return rows.withColumn("__qf_n", F.explode(F.sequence(F.lit(1), F.col("__qf_times").cast("int")))).select(*docs.columns)
+    out = rows.withColumn("__qf_n", F.explode(F.sequence(F.lit(1), F.col("__qf_times").cast("int")))).select(*docs.columns)
+    odd = one.filter("__qf_rest > 0")
+    if odd.isEmpty():
+        return out
+    order = Window.partitionBy("__qf_id", "__qf_source", "__qf_size").orderBy(F.xxhash64(how.get("text_col", "text")))
+    more = docs.join(odd, on).withColumn("__qf_n", F.row_number().over(order)).filter("__qf_n <= __qf_rest")
+    return out.unionByName(more.select(*docs.columns))
 
 
 def five_two_one(sources: DataFrame):
