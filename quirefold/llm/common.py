@@ -9,6 +9,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -179,15 +180,18 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(id, root) of every id that has an edge: root is the smallest id that edges lead to.
 
     Alternates large-star and small-star steps, each a minimum by key (combined before the
-    shuffle) and an equi-join, until a step changes nothing. Nothing goes to the driver but counts.
+    shuffle) and an equi-join, until a step changes nothing; it is an error if that takes more than
+    rounds, if given. Nothing goes to the driver but counts.
     """
     e = keep(edges.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("c")).filter("p < c").distinct())
     last = None
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"components are not stable after {rounds} rounds")
         # large star: all larger neighbours move to the smallest of the neighbourhood
         both = e.select(F.col("p").alias("x"), F.col("c").alias("y")).unionByName(e.select(F.col("c").alias("x"), F.col("p").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))

@@ -115,6 +115,20 @@ def test_mix_repeats_rows(odd, empty):
     assert mixing.mix(empty, mixing.five_two_one).count() == 0 and mixing.shares(empty, mixing.five_two_one).count() == 0
 
 
+def test_mix_deals_out_what_repeated_rows_take(spark):
+    rows = [(1, "a b", "x"), (1, "c d", "x")] + [(i % 3, "e f g", "y") for i in range(21)] + [(None, "h", "z")] * 5
+    d = docs(spark, rows)
+    taken, got = Counter(), Counter()
+    for r in mixing.shares(d, mixing.five_two_one, share=0.7).collect():
+        taken[r.id, r.source] += r.repeats
+    assert any(n % sum(x[0] == i and x[2] == s for x in rows) for (i, s), n in taken.items())
+    mixed = mixing.mix(d, mixing.five_two_one, share=0.7)
+    assert mixed.columns == d.columns
+    for r in mixed.collect():
+        got[r.doc_id, r.source] += 1
+    assert got == +taken
+
+
 # pieces
 
 
@@ -397,6 +411,12 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(1, 41)} | {75: 50, 100: 50}
 
 
+def test_components_never_end_unstable(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=1)
+
+
 def test_shingles_of_few_words():
     h = np.array([3, 5, 7], np.uint64)
     assert len(shingles(h, 2)) == 2 and len(shingles(h, 5)) == 1 and len(shingles(h[:0], 5)) == 0 and shingles(h[:2], 5)[0] == shingles(h[:2], 2)[0] != shingles(h[1:], 2)[0]
