@@ -14,8 +14,9 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: A word, for Java's and DuckDB's regular expressions; bytes.split() cuts the same words out of UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +25,7 @@ HOT_ONE_IN = 200
 #: Rows of a table of ids (at most 16 bytes each) that may be broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 #: Bytes of text that one call into Python gets at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -42,11 +43,13 @@ _SCRATCH: dict[int, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's own folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """This application's own folder below spark.checkpoint.dir; without one, a temporary folder in local mode, an error on a cluster."""
     app = id(spark.sparkContext)
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
         _SCRATCH[app] = f"{base.rstrip('/')}/quirefold-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _SCRATCH[app])
@@ -69,6 +72,18 @@ def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def orderable(kind: DataType) -> bool:
+    """Whether values of the type have an order."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def ids_hint(df: DataFrame, rows: int) -> DataFrame:
     """A table of ids is broadcast only when its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
@@ -97,18 +112,23 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield x or b""
 
 
+def tidy() -> None:
+    """Gives memory back: workers live on when a task has ended, and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only the GNU library has it
+        trim(0)
+
+
 def tidied(run):
-    """run, a function from batches to batches, that gives its memory back when its task ends: workers live on and serve other stages."""
+    """run, a function from batches to batches, that tidies up when its task ends."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only the GNU library has it
-                trim(0)
+            tidy()
 
     return wrapped
 

@@ -10,10 +10,12 @@ independent ones. Bands of the sketch propose links.
 
 A band's bucket is never expanded into pairs. Its members are linked to one hub, the bucket's
 smallest id: first each document with the hub it shares most bands with, then what is still in
-different components. In buckets whose members are even then in different components, members are
-held against those of other components inside a task, by an exact upper bound of similarity from
-histograms of their shingles, so no link between proposed documents is lost and only pairs that
-may be links become rows. Every link is confirmed on the full sets.
+different components. In buckets whose members are even then in different components, all members
+outside the bucket's largest component are queries against the bucket, in blocks of bounded bytes.
+A block looks its queries' rarest shingles up in an inverted index of its members (two sets that
+are similar share one of them), confirms on the full sets and puts out one link for every two
+components that it joins: fewer rows than it read, however large the group. Every link is
+confirmed on the full sets, and no link between proposed documents is lost.
 
 With 36 bands of 5 bins, a pair at similarity 0.8 shares no band with a probability below 1e-6.
 
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import WordHashes, bounded_batches, chunks, components, ids_hint, join_facts, keep, mix, runs_of, shingles, tidied, utf8
 
 ROWS, BANDS = 5, 36
-HISTOGRAM = 256
-PART = 2000
+#: What a block holds of a bucket at most, of its queries as of its members; one document may be larger.
+PART_ROWS, PART_BYTES = 500, 8 << 20
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -75,7 +77,7 @@ def shingle_sets(texts: list[bytes], k: int, seen: WordHashes) -> list[np.ndarra
 
 
 def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n, same, bands, counts): a hash of the text, the set's size, 128 bits that equal sets share, band keys, and how many shingles fall into each of HISTOGRAM parts."""
+    """(id, key, n, same, bands): a hash of the text, the set's size, 128 bits that equal sets share, and band keys."""
     bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -90,9 +92,9 @@ def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 lists: list = [None] * len(sets)
                 for i, row in zip(full, keys, strict=True):
                     lists[i] = row
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM).astype("<u4" if len(x) > 60_000 else "<u2").tobytes() for x in sets], pa.binary())], ["id", "key", "n", "same", "bands", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "n", "same", "bands"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(tidied(run), f"id {kind}, key bigint, n bigint, same binary, bands array<bigint>, counts binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(tidied(run), f"id {kind}, key bigint, n bigint, same binary, bands array<bigint>")
 
 
 def full_sets(df: DataFrame, k: int, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     facts = keep(facts.orderBy("rep", "same").withColumn("node", F.monotonically_increasing_id()))
     members = keep(join_facts(full.select("id", "key", "n", "same"), facts, "same", "rows", total).select("id", "key", "n", "rep", "node"))
     names = facts.filter("rep is not null").select("rep", "same", "node")
-    reps = full.withColumnRenamed("id", "rep").join(names, ["rep", "same"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "n", "bands", "counts")
+    reps = full.withColumnRenamed("id", "rep").join(names, ["rep", "same"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "n", "bands")
     keyed = keep(reps.select("id", "n", F.explode("bands").alias("band")), "zstd")
     buckets = keep(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
     inside = keep(keyed.join(buckets, "band").select("band", "hub", "size", "id", "n"), "zstd")
@@ -170,13 +172,13 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     roots = components(links)
 
     # buckets of three or more whose members are in different components
-    labelled = keep(_rooted(wide.select("band", "hub", "id", "n"), roots, "id", "root"), "zstd")
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    labelled = keep(labelled.join(mixed, "band", "left_semi"))
-    hubs = labelled.filter("id = hub").select("band", F.col("root").alias("hub_root"))
-    rest = labelled.join(hubs, "band").select("band", "id", "n", "root", (F.col("root") != F.col("hub_root")).alias("apart"))
-    pairs = _possible(rest, reps.select("id", "counts"), percent)
-    links = keep(links.union(confirmed(pairs, sets, percent)))
+    labelled = keep(_rooted(wide.select("band", "id", "n"), roots, "id", "root"), "zstd")
+    parts = labelled.groupBy("band", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
+    largest = F.struct("rows", "items", -F.col("root"))
+    mixed = parts.groupBy("band").agg(F.max_by("root", largest).alias("main"), F.sum("rows").alias("rows"), F.sum("items").alias("items"), F.max(largest).alias("of_main"), F.count("*").alias("roots"))
+    cut = lambda rows, items: F.greatest(F.ceil(rows / PART_ROWS), F.ceil(items * 8 / PART_BYTES), F.lit(1)).cast("int")
+    mixed = mixed.filter("roots > 1").select("band", "main", cut(F.col("rows"), F.col("items")).alias("parts"), cut(F.col("rows") - F.col("of_main.rows"), F.col("items") - F.col("of_main.items")).alias("asking"))
+    links = keep(links.union(_across(labelled.join(mixed, "band"), sets, percent)))
     roots = components(links)
 
     linked = roots.join(names.select(F.col("node").alias("root"), F.col("rep").alias("first")), "root").select(F.col("id").alias("node"), "first")
@@ -184,47 +186,77 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     return rooted.unionByName(s.filter("same is null").select("id", "key", "n", F.col("id").alias("root"), F.lit(False).alias("gone")))
 
 
-def _possible(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within bands whose members are in different components and may be similar.
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that meet in a band.
 
-    rows (band, id, n, root, apart): apart ones are compared with all others. The histograms give
-    an upper bound of the intersection that is exact, so a pair beyond it can't be a link; pairs
-    are looked at inside a task and only those within the bound become rows. Large bands are cut
-    into a grid of parts of about PART rows.
+    rows (band, id, root, main, parts, asking): those outside the component main are queries. The
+    band is cut into that many parts, its queries into as many as asking says; each block holds
+    some queries against some members.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    parts = rows.groupBy("band").agg(F.expr(f"cast(count(*) div {PART} + 1 as int)").alias("parts"))
-    d = rows.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = d.filter("apart").withColumn("j", every).withColumn("i", F.col("own")).withColumn("left", F.lit(True))
-    right = d.withColumn("i", every).withColumn("j", F.col("own")).withColumn("left", F.lit(False))
-    both = left.unionByName(right).select("band", "i", "j", "left", "apart", "id", "n", "root").join(counts, "id")
-
-    def compare(t: pa.Table) -> pa.Table:
-        side, apart = (t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "apart"))
-        ids, n, root = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "root"))
-        c = np.stack([np.frombuffer(x, "<u4" if len(x) == 4 * HISTOGRAM else "<u2").astype(np.int32) for x in t.column("counts").to_pylist()])
-        others = np.flatnonzero(~side)
-        first, second = [], []
-        for i in np.flatnonzero(side):
-            # of two that are apart, the pair belongs to the smaller id
-            some = others[(root[others] != root[i]) & (~apart[others] | (ids[others] > ids[i]))]
-            some = some[100 * np.minimum(n[some], n[i]) >= percent * np.maximum(n[some], n[i])]
-            most = np.minimum(c[some], c[i]).sum(1)
-            some = some[100 * most >= percent * (n[some] + n[i] - most)]
-            first.append(np.minimum(ids[some], ids[i]))
-            second.append(np.maximum(ids[some], ids[i]))
-        return pa.table({"a": np.concatenate([ids[:0], *first]), "b": np.concatenate([ids[:0], *second])})
-
-    ordered = both.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    d = rows.withColumn("apart", F.col("root") != F.col("main")).join(sets, "id")
+    number = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asked = d.filter("apart").withColumn("i", number("asking")).withColumn("j", every("parts")).withColumn("asks", F.lit(True))
+    there = d.withColumn("i", every("asking")).withColumn("j", number("parts")).withColumn("asks", F.lit(False))
+    both = asked.unionByName(there).select("band", "i", "j", "asks", "apart", "id", "root", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, ["band", "i", "j"]):
-            got = compare(t)
-            if got.num_rows:
-                yield from got.to_batches()
+            a, b = block_links(*(t.column(c).to_numpy() for c in ("asks", "apart", "id", "root")), [np.frombuffer(x.as_py(), "<u8") for x in t.column("items")], percent)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, t.schema.field("id").type), pa.array(b, t.schema.field("id").type)], ["a", "b"])
+
+    ordered = both.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.mapInArrow(tidied(run), f"a {kind}, b {kind}")
 
-    return keep(ordered.mapInArrow(tidied(run), f"a {kind}, b {kind}").distinct())
+
+def block_links(asks: np.ndarray, apart: np.ndarray, ids: np.ndarray, root: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list, list]:
+    """Links that join the components of a block: each query (asks) against the members, until their components are one.
+
+    A set similar to one of n shingles shares percent of them, hence at least one of any
+    n - ceil(percent * n / 100) + 1; those with the fewest members are looked up. What they hit
+    bounds the intersection, and only members that the bound lets through are counted in full.
+    """
+    names, comp = np.unique(root, return_inverse=True)
+    over = list(range(len(names)))
+
+    def top(c: int) -> int:
+        while over[c] != c:
+            over[c] = c = over[over[c]]
+        return c
+
+    member, first, second = np.flatnonzero(~asks), [], []
+    size = np.array([len(s) for s in sets])
+    items = np.concatenate([sets[m] for m in member])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], np.repeat(np.arange(len(member)), size[member])[order]
+
+    def hits(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How often each member stands in the index's ranges."""
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(member))
+
+    for q in np.flatnonzero(asks):
+        lo = np.searchsorted(items, sets[q], "left")
+        n = np.searchsorted(items, sets[q], "right") - lo
+        rare = np.argsort(n, kind="stable")
+        some, rest = np.split(rare, [size[q] - -(-percent * size[q] // 100) + 1])
+        got = hits(lo[some], n[some])
+        # of two that are apart, the pair belongs to the smaller id
+        open_ = (got > 0) & (root[member] != root[q]) & (~apart[member] | (ids[member] > ids[q]))
+        least = percent * (size[member] + size[q])  # of the intersection, times 100 + percent
+        found = np.flatnonzero(open_ & ((100 + percent) * (got + len(rest)) >= least) & (100 * np.minimum(size[member], size[q]) >= percent * np.maximum(size[member], size[q])))
+        if not len(found) or all(top(comp[member[f]]) == top(comp[q]) for f in found):
+            continue
+        got = got + hits(lo[rest], n[rest])
+        for f in found[(100 + percent) * got[found] >= least[found]]:
+            x, y = top(comp[member[f]]), top(comp[q])
+            if x != y:
+                over[x] = y
+                first.append(min(ids[q], ids[member[f]]))
+                second.append(max(ids[q], ids[member[f]]))
+    return first, second
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, by: str, out: str) -> DataFrame:
