@@ -4,14 +4,21 @@ Pass 1 adds the hash of every text to a counting filter that knows "once" and "t
 keeps back only rows whose positions were all hit twice. Only those rows shuffle, as (hash, id);
 all others are unique for certain and pass straight through.
 
-The filter has 16 bits a row up to MOST_BITS (32 MB, the proven bound of what is broadcast). With
-more rows than that allows it gets denser and more rows shuffle; results stay exact. It is built
+The filter has 16 bits a row. What is broadcast at a time has MOST_BITS at most (32 MB, the proven
+bound); beyond, hashes are cut by their highest bits into ranges, each with its own filter and its
+own scan of the table of hashes, up to MOST_RANGES (half a billion rows). Only beyond that do
+filters get denser, so that more (hash, id) rows shuffle; results stay exact. A filter is built
 without a driver-side merge: each task emits sparse positions by slice of 2^16 bits, and a group
 per slice merges them.
 
+dedup() needs to know of repeated texts only. While those are few, what is known of them is
+broadcast; beyond, their digests go into such a filter too, and rows that miss it stay where they
+are.
+
 Cases: null text counts as empty; empty texts equal each other; rows that repeat an id and its
-text are one document twice, of which exactly one stays; a null id is smaller than any other; an
-empty table gives an empty result; other columns, whatever their names, are passed through.
+text are one document twice, of which exactly one stays, the first by the columns that have an
+order; a null id is smaller than any other; an empty table gives an empty result; other columns,
+whatever their names and types, are passed through.
 """
 
 from __future__ import annotations
@@ -22,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, join_facts, keep, utf8
+from quirefold.llm.common import BROADCAST_IDS, bounded_batches, column, ids_hint, join_facts, keep, orderable, utf8
 
 MOST_BITS = 1 << 28
+MOST_RANGES = 32
 SLICE = 16  # a slice has 2^16 bits
 
 
@@ -47,7 +55,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(h)], ["id", "sha", "h"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, sha binary, h bigint")
+    out = df.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, f"id {kind}, sha binary, h bigint")
     return keep(out.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -55,14 +63,24 @@ def filter_bits(rows: int) -> int:
     return min(MOST_BITS, 1 << max(SLICE, (16 * rows - 1).bit_length()))
 
 
+def ranges(rows: int) -> int:
+    """Into how many ranges of hashes, a power of two, so many rows are cut."""
+    return min(MOST_RANGES, 1 << max(0, -(-16 * rows // MOST_BITS) - 1).bit_length())
+
+
+def in_range(h, number: int, of: int):
+    """Whether a hash is in a range by its highest bits, which positions in a filter don't use."""
+    return F.shiftrightunsigned(h, 64 - (of.bit_length() - 1)) == number if of > 1 else F.lit(True)
+
+
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """Two positions of each hash, one row each."""
+    """Two positions of each hash, one row each: of its lowest bits, and of those from the 28th on."""
     u = h.astype(np.uint64)
-    return np.stack([u & np.uint64(bits - 1), (u >> np.uint64(32)) & np.uint64(bits - 1)])
+    return np.stack([u & np.uint64(bits - 1), (u >> np.uint64(28)) & np.uint64(bits - 1)])
 
 
-def seen_twice(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Pass 1: the bitmap of positions that at least two rows hit."""
+def hit(hashes: DataFrame, bits: int, least: int = 2) -> np.ndarray:
+    """Pass 1: the bitmap of positions that at least so many rows (one or two) hit."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,7 +104,7 @@ def seen_twice(hashes: DataFrame, bits: int) -> np.ndarray:
         for name in ("once", "twice"):
             for x in t.column(name).to_pylist():
                 n[np.frombuffer(x, "<u2")] += 1
-        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(n > 1, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())})
 
     sparse = hashes.select("h").mapInArrow(local, "part bigint, once binary, twice binary")
     out = np.zeros(bits // 8, np.uint8)
@@ -95,27 +113,36 @@ def seen_twice(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def may_repeat(df: DataFrame, twice: np.ndarray, bits: int):
-    """Pass 2: a column function of h that is false only where the text is unique for certain."""
-    shared = df.sparkSession.sparkContext.broadcast(twice)
+def found(h: np.ndarray, filled: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both positions of each hash are hit."""
+    p = positions(h, bits)
+    return ((filled[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
-    @F.pandas_udf("boolean")
-    def probe(h: pd.Series) -> pd.Series:
-        p = positions(h.to_numpy(), bits)
-        hit = (shared.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=0))
 
-    return probe
+def may_be_in(spark: SparkSession, filled: np.ndarray, bits: int):
+    """Pass 2: a column function of h that is false only where the filter was certainly not hit."""
+    shared = spark.sparkContext.broadcast(filled)
+    return F.pandas_udf(lambda h: pd.Series(found(h.to_numpy(), shared.value, bits)), "boolean")
+
+
+def flagged(d: DataFrame, total: int) -> DataFrame:
+    """d (h, ...) with maybe: false where the row's hash stands once for certain. A range of hashes at a time."""
+    bits, of = filter_bits(total), ranges(total)
+    out = None
+    for number in range(of):
+        part = d.filter(in_range(F.col("h"), number, of)) if of > 1 else d
+        part = part.withColumn("maybe", may_be_in(d.sparkSession, hit(part, bits), bits)("h"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, sha, keep_id (largest id of equal texts), group_size, kept."""
     d = digests(df, id_col, text_col)
     total = d.count()
-    bits = filter_bits(total)
-    flagged = d.withColumn("maybe", may_repeat(df, seen_twice(d, bits), bits)("h"))
-    single = flagged.filter(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    some = keep(flagged.filter("maybe").drop("maybe", "h"))
+    d = flagged(d, total)
+    single = d.filter(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    some = keep(d.filter("maybe").drop("maybe", "h"))
     facts = some.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("last"))
     shared = join_facts(some, keep(facts), "sha", "group_size", total)
     return single.unionByName(shared.select("id", "sha", F.col("last.id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept")))
@@ -124,24 +151,37 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the row with the largest id.
 
-    Rows that are unique for certain keep their place; the others meet the largest id of their
-    digest by a join on (digest, id), which no hot digest can skew.
+    Rows of texts that stand once keep their place; the others meet what is known of their digest
+    and id by a join on both, which no hot digest can skew.
     """
-    d = digests(df, id_col, text_col)
-    bits = filter_bits(d.count())
-    probe = may_repeat(df, twice := seen_twice(d, bits), bits)
-    last = keep(d.filter(probe("h")).groupBy("sha").agg(F.max("id").alias("__qf_id")))
-    shared = df.sparkSession.sparkContext.broadcast(twice)
+    spark, d = df.sparkSession, digests(df, id_col, text_col)
+    total = d.count()
+    some = keep(flagged(d, total).filter("maybe").select("id", "sha", "h"))
+    facts = keep(some.groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("last")).filter("n > 1"))
+    # what is decided for every digest and id that stands on rows with a repeated text
+    each = join_facts(some.select("sha", "h", "id"), facts, "sha", "n", total)
+    each = keep(each.groupBy("sha", "id").agg(F.first("h").alias("h"), F.count("*").alias("rows"), F.first("last").alias("last")))
+    each = each.withColumn("stays", F.col("id").eqNullSafe(F.col("last")))
+    few = each.count()
+    bits = filter_bits(few)
+    repeated = spark.sparkContext.broadcast(hit(each, bits, least=1))
 
     @F.pandas_udf("sha binary, maybe boolean")
     def tag(text: pd.Series) -> pd.DataFrame:
         sha = sha256_normalised(pa.array(text, pa.string()))
-        p = positions(np.frombuffer(b"".join(x[:8] for x in sha), "<i8"), bits)
-        hit = (shared.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-        return pd.DataFrame({"sha": sha, "maybe": hit.all(axis=0)})
-
-    rows = df.withColumn("__qf", tag(F.col(text_col)))
-    stay = rows.filter("__qf.maybe").join(last, (F.col("__qf.sha") == F.col("sha")) & F.col(id_col).eqNullSafe(F.col("__qf_id")), "left_semi")
-    key, rest = [F.col("__qf.sha").alias("__qf_sha"), F.col(id_col)], [c for c in df.columns if c != id_col]
-    one = stay.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__qf_rest"))
-    return rows.filter("not __qf.maybe").select(*df.columns).unionByName(one.select(id_col, *[F.col("__qf_rest")[c].alias(c) for c in rest]).select(*df.columns))
+        return pd.DataFrame({"sha": sha, "maybe": found(np.frombuffer(b"".join(x[:8] for x in sha), "<i8"), repeated.value, bits)})
+
+    names = [f"__qf_{i}" for i in range(len(df.columns))]
+    key, text = names[df.columns.index(id_col)], names[df.columns.index(text_col)]
+    rows = df.toDF(*names).withColumn("__qf", tag(F.col(text))).select(*names, F.col("__qf.sha").alias("__qf_sha"), F.col("__qf.maybe").alias("__qf_maybe"))
+    told = ids_hint(each.select(F.col("sha").alias("__qf_s"), F.col("id").alias("__qf_i"), F.col("stays").alias("__qf_stays"), F.col("rows").alias("__qf_rows")), few)
+    met = rows if few <= BROADCAST_IDS else rows.filter("__qf_maybe")
+    met = met.join(told, (F.col("__qf_sha") == F.col("__qf_s")) & F.col(key).eqNullSafe(F.col("__qf_i")), "left").filter("coalesce(__qf_stays, true)")
+    out = met.filter("coalesce(__qf_rows, 1) = 1").select(*names)
+    if few > BROADCAST_IDS:
+        out = out.union(rows.filter("not __qf_maybe").select(*names))
+    if not each.filter("stays and rows > 1").isEmpty():
+        order = F.struct(*[n for n, f in zip(names, df.schema.fields, strict=True) if orderable(f.dataType)], "__qf_row")
+        one = met.filter("__qf_rows > 1").withColumn("__qf_row", F.monotonically_increasing_id()).groupBy("__qf_sha", key).agg(F.min_by(F.struct(*names), order).alias("__qf_row"))
+        out = out.union(one.select(*[F.col(f"__qf_row.{n}").alias(n) for n in names]))
+    return out.toDF(*df.columns)
