@@ -3,7 +3,8 @@
 The distinct units of a batch (a word with the space mark before it) are joined to one text and
 indexed by a suffix array, sorted as far as the longest piece. Every piece is found by binary
 search as a range of suffixes; the ranges are the edges of the segmentation lattice. Edges are
-sorted by the offset in their unit where they end and relaxed offset by offset, all units at once.
+sorted by the offset in their unit where they end and relaxed offset by offset, all units at once;
+units of more than LONG characters, which would leave the others behind, one by one.
 
 For a BPE model the segmentation of a prefix ends in exactly one piece that may stand behind the
 segmentation of what precedes it, so relaxing means to find that one: two neighbours are valid if
@@ -31,12 +32,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bounded_batches, chunks, tidied, utf8
+from quirefold.llm.common import bounded_batches, chunks, tidied, tidy, utf8
 
 MARK = "▁"
 _PACK = 4  # characters of 15 bits in a 64-bit word
 _NONE = np.int64(1) << 40
 UNITS = 250_000
+LONG = 2000
+#: Characters of units that are indexed at a time, if not one unit has more; edges take some hundred bytes a character.
+SPAN = 1 << 17
+
+
+def model_type(proto: bytes) -> int:
+    """The kind of a serialised model (field 3 of its field 2): 1 unigram, which is the default, 2 BPE, 3 words, 4 characters."""
+
+    def number(raw: bytes, at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 0x7F) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 0x80:
+                return value, at
+
+    def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+        while at < len(raw):
+            tag, at = number(raw, at)
+            if tag & 7 == 0:
+                value, at = number(raw, at)
+                yield tag >> 3, value
+            else:
+                size, at = number(raw, at) if tag & 7 == 2 else (8 if tag & 7 == 1 else 4, at)
+                yield tag >> 3, raw[at : at + size]
+                at += size
+
+    trainer = next((x for n, x in fields(proto) if n == 2), b"")
+    return next((x for n, x in fields(trainer) if n == 3), 1)
 
 
 class Model:
@@ -46,6 +77,8 @@ class Model:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model_type(sp.serialized_model_proto()) != 2:
+            raise ValueError(f"{path} is not a BPE model")
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
         normal = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(size)]
@@ -80,16 +113,18 @@ class Model:
                 reached.append(p)
         self.unknown = size  # stands for a character without a piece
         self._pairs(pairs)
+        self.pair, self.made = dict(pairs), (self.rank.tolist(), self.left.tolist(), self.right.tolist())
+        self._side_by_side: dict[int, bool] = {}
         usable = reached + [p for p in ids if len(p) == 1]
         self.alphabet = np.array(sorted({ord(c) for p in usable for c in p}), np.int64)
         if len(self.alphabet) >= 1 << 15:
             raise ValueError("more than 32,767 different characters in pieces")
         self.longest = max(map(len, usable))
         self.words = -(-self.longest // _PACK)
-        self.find_id = np.array([ids[p] for p in usable])
+        self.find_id = np.array([ids[p] for p in usable], np.int32)
         self.find_len = np.array([len(p) for p in usable])
         self.low, self.high = self._bounds(usable)
-        self.length = np.ones(size + 1, np.int64)
+        self.length = np.ones(size + 1, np.int32)
         self.length[self.find_id] = self.find_len
         self.single = np.zeros(len(self.alphabet) + 1, bool)
         for p in usable:
@@ -144,6 +179,39 @@ class Model:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return ok
 
+    def follows(self, a: int, b: int) -> bool:
+        """valid() of one pair, remembered."""
+        key = a * (self.unknown + 1) + b
+        ok = self._side_by_side.get(key)
+        if ok is None:
+            if len(self._side_by_side) > 1_000_000:
+                self._side_by_side.clear()
+            ok = self._side_by_side[key] = self._stay(a, b)
+        return ok
+
+    def _stay(self, a: int, b: int) -> bool:
+        rank, left, right = self.made
+        limit = none = int(_NONE)
+        while self.pair.get(a * (self.unknown + 1) + b, none) >= limit:
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                a, limit = right[a], ra
+            else:
+                b, limit = left[b], rb + 1
+        return False
+
+    def relax(self, size: int, start: list[int], end: list[int], piece: list[int]) -> list[int]:
+        """The last piece of the segmentation of every beginning of one unit; edges in order of their ends, the longest first."""
+        last, done = [-1] * (size + 1), 0
+        for s, e, this in zip(start, end, piece, strict=True):
+            if e != done:
+                before = last[s]
+                if before < 0 or before == self.unknown or this == self.unknown or self.follows(before, this):
+                    last[e], done = this, e
+        return last
+
     def _packed(self, codes: np.ndarray) -> np.ndarray:
         """From every position on, the next _PACK codes as one number."""
         n = len(codes)
@@ -169,25 +237,29 @@ class Model:
         columns = [packed[w * _PACK : w * _PACK + n] for w in range(self.words)]
         suffixes = self._sorted(columns[0])
         columns = [c[suffixes] for c in columns]
-
-        def search(keys: np.ndarray, right: bool) -> np.ndarray:
-            lo, hi = np.zeros(keys.shape[1], np.int64), np.full(keys.shape[1], n, np.int64)
-            for _ in range(n.bit_length()):
-                go = lo < hi
-                mid = np.minimum((lo + hi) >> 1, n - 1)
-                less, same = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-                for c, k in zip(columns, keys, strict=True):
-                    x = c[mid]
-                    less |= same & (x < k)
-                    same &= x == k
-                less = (less | same if right else less) & go
-                lo, hi = np.where(less, mid + 1, lo), np.where(go & ~less, mid, hi)
-            return lo
-
-        first, last = search(self.low, False), search(self.high, True)
+        # the first characters of all pieces at once, then those of longer ones inside what is left of them
+        first, last = np.searchsorted(columns[0], self.low[0], "left"), np.searchsorted(columns[0], self.high[0], "right")
+        for w in range(1, self.words):
+            some = np.flatnonzero((self.find_len > w * _PACK) & (last > first))
+            lo, hi = first[some], last[some]
+            first[some], last[some] = self._within(columns[w], self.low[w, some], lo, hi, False), self._within(columns[w], self.high[w, some], lo, hi, True)
         count = last - first
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return suffixes[at], np.repeat(self.find_id, count)
+        return suffixes.astype(np.int32)[at], np.repeat(self.find_id, count)
+
+    @staticmethod
+    def _within(column: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
+        """Where each key belongs in its own range of the column, which is sorted there."""
+        lo, hi = lo.copy(), hi.copy()
+        wait = np.flatnonzero(lo < hi)
+        while len(wait):
+            mid = (lo[wait] + hi[wait]) >> 1
+            x, k = column[mid], keys[wait]
+            less = x <= k if right else x < k
+            lo[wait[less]] = mid[less] + 1
+            hi[wait[~less]] = mid[~less]
+            wait = wait[lo[wait] < hi[wait]]
+        return lo
 
     def _sorted(self, first: np.ndarray) -> np.ndarray:
         """The suffix array as far as the longest piece, from the first _PACK characters on by doubling."""
@@ -215,25 +287,32 @@ class Model:
         start, piece = self.edges(codes)
         lone = ~self.single[codes]
         lone[gaps] = False
-        lone = np.flatnonzero(lone)
-        start, piece = np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), self.unknown)])
+        lone = np.flatnonzero(lone).astype(np.int32)
+        start, piece = np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), self.unknown, np.int32)])
         end = start + self.length[piece]
-        unit = np.repeat(np.arange(len(units)), size + 1)
-        offset = end - begin[unit[start]]
-        if offset.max(initial=0) < 1 << 19 and len(text) < 1 << 32 and self.longest < 1 << 12:
-            order = np.argsort(offset << 44 | end << 12 | 4095 - self.length[piece])
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), size + 1)
+        offset = end - begin.astype(np.int32)[unit[start]]
+        if offset.max(initial=0) < 1 << 19 and self.longest < 1 << 12:
+            order = np.argsort(offset.astype(np.int64) << 44 | end.astype(np.int64) << 12 | 4095 - self.length[piece])
         else:  # the three don't fit into one word
             order = np.lexsort((-self.length[piece], end, offset))
         start, piece, end, offset = start[order], piece[order], end[order], offset[order]
+        # last[p]: the piece that the segmentation of a unit's text up to p ends in; -1 at a unit's start
+        last = np.full(len(text) + 1, -1, np.int64)
+        if (long := np.flatnonzero(size > LONG)).size:
+            of = unit[start]
+            for u in long:
+                mine, low = of == u, begin[u]
+                last[low + 1 : low + size[u] + 1] = self.relax(size[u], (start[mine] - low).tolist(), (end[mine] - low).tolist(), piece[mine].tolist())[1:]
+            short = size[of] <= LONG
+            start, piece, end, offset = start[short], piece[short], end[short], offset[short]
         fresh = np.concatenate([[True], end[1:] != end[:-1]]) if len(end) else np.zeros(0, bool)
         heads = np.flatnonzero(fresh)
         rows = np.searchsorted(offset[heads], np.arange(1, int(offset.max()) + 2 if len(offset) else 1))
-        # last[p]: the piece that the segmentation of a unit's text up to p ends in; -1 at a unit's start
-        last = np.full(len(text) + 1, -1, np.int64)
         for i, j in zip(rows, rows[1:], strict=False):
             now = heads[i:j]
             while len(now):
-                before, this = last[start[now]], piece[now]
+                before, this = last[start[now]], piece[now].astype(np.int64)
                 ok = (before < 0) | (before == self.unknown) | (this == self.unknown)
                 test = np.flatnonzero(~ok)
                 ok[test] = self.valid(before[test], this[test])
@@ -306,11 +385,14 @@ class Encoder:
         if len(self.place) > UNITS:
             self._reset()
         new = list({u: None for s in split for u in s if u not in self.place})
-        if new:
-            ids, count = self.model.segment(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-            self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids])
+        size = np.cumsum([len(u) for u in new])
+        cuts = np.flatnonzero(np.diff(size // SPAN, prepend=0)).tolist()
+        for i, j in zip([0, *cuts], [*cuts, len(new)], strict=True):
+            if i < j:
+                ids, count = self.model.segment(new[i:j])
+                self.place.update(zip(new[i:j], range(len(self.place), len(self.place) + j - i), strict=True))
+                self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+                self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids])
         out = []
         for s in split:
             u = np.fromiter(map(self.place.__getitem__, s), np.int64, len(s))
@@ -326,7 +408,7 @@ def _model(path: str) -> Model:
 
 
 def _ids(column: pa.Array, encoder: Encoder) -> Iterator[tuple[int, list[bytes], list[np.ndarray]]]:
-    for at, texts in chunks(utf8(column), 2 << 20):
+    for at, texts in chunks(utf8(column), 1 << 20):
         yield at, texts, encoder.encode([x.decode("utf-8", "replace") for x in texts])
 
 
@@ -337,11 +419,15 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", out_col: str
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(_model(model_file))
-        for t in batches:
-            out: list[np.ndarray] = []
-            for _, _, ids in _ids(pa.array(t, pa.string()), encoder):
-                out += ids
-            yield pd.Series(out, dtype=object)
+        try:
+            for t in batches:
+                out: list[np.ndarray] = []
+                for _, _, ids in _ids(pa.array(t, pa.string()), encoder):
+                    out += ids
+                yield pd.Series(out, dtype=object)
+        finally:
+            del encoder
+            tidy()
 
     return df.withColumn(out_col, run(F.col(text_col)))
 
