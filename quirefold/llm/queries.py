@@ -86,15 +86,16 @@ def op9_chat(spark: SparkSession, sf_dir: str, vocabulary: str | None = TOKENS)
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, read back and merged into one index."""
-    return warc.histories(documents(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.histories(documents(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_no")
 
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
-), d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)([?][^#]*)?', ['host', 'path', 'query']) AS u FROM pages
+), d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+    array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || CASE u.path WHEN '' THEN '/' ELSE u.path END || CASE u.query WHEN '?' THEN '' ELSE u.query END AS key FROM p
 ), g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN last <> page_id THEN last END AS refers_to FROM g
+       CASE WHEN last <> page_id THEN last END AS refers_to, row_number() OVER (ORDER BY key, page_id) AS capture_no FROM g
 """
 
 

@@ -6,7 +6,7 @@ bytes the row with the largest id is a response, the others are revisits that re
 read(): parses the archives; each one's captures, sorted by URL key and time, are a run.
 merge(): runs are cut by splitters over the whole key (URL key, time, id), so that even one hot
 URL spreads over many ranges; in each range a loser tree merges its k sorted run pieces. (range,
-place) is the global order of the capture histories.
+place) is the global order of the capture histories, and capture_no counts it.
 
 Cases: null payloads count as empty; null urls are stored as about:blank; null ids give an empty
 id and never refer; rows that repeat an id and its payload are both responses if the id is the
@@ -30,8 +30,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quirefold.llm.common import bounded_batches, ids_hint, keep, tidied
+from quirefold.llm import common
+from quirefold.llm.common import bounded_batches, join_facts, keep, tidied
+from quirefold.llm.exact_dedup import filter_bits, hit, may_be_in
 
 LEAST = 1000
 ARCHIVE_BYTES = 8 << 20
@@ -102,17 +105,32 @@ def _page(field: str | None, whole: bool) -> Any:
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None) -> DataFrame:
-    """(archive, data): archives of about ARCHIVE_BYTES. Payloads stay where they are unless there
-    are more repeated ones than may be broadcast as (digest, id)."""
+    """(archive, data): archives of about ARCHIVE_BYTES.
+
+    What is repeated is worked out on (id, digest) alone. While the revisits are few they are
+    broadcast and no payload moves; beyond, payloads whose digest a filter of the revisits' misses
+    stay where they are, and the others meet what they refer to by digest and id, so that no
+    digest, however often it stands, is one task's.
+    """
     spark = pages.sparkSession
     bounded_batches(spark)
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     when = F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body"), when.alias("captured")).withColumn("sha", F.unhex(F.sha1("body")))
-    last = rows.filter(F.octet_length("body") >= LEAST).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null")
-    last = keep(last.select("sha", "last"))
-    rows = rows.join(ids_hint(last, last.count()), "sha", "left")
-    rows = rows.select("id", "url", F.unix_micros("captured").alias("captured"), "body", "sha", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    large = keep(rows.filter(F.octet_length("body") >= LEAST).select("id", "sha"))
+    last = keep(large.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null"))
+    revisits = join_facts(large, last, "sha", "n", large.count()).filter(~F.col("id").eqNullSafe(F.col("last")))
+    revisits = keep(revisits.select(F.col("sha").alias("s"), F.col("id").alias("i"), "last").distinct())
+    few, met = revisits.count(), (F.col("sha") == F.col("s")) & F.col("id").eqNullSafe(F.col("i"))
+    if few <= common.BROADCAST_IDS:
+        rows = rows.join(F.broadcast(revisits), met, "left")
+    else:
+        bits = filter_bits(few)
+        first = F.udf(lambda s: int.from_bytes(s[:8], "little", signed=True), "bigint", useArrow=True)
+        maybe = may_be_in(spark, hit(revisits.select(first("s").alias("h")), bits, least=1), bits)
+        rows = rows.withColumn("maybe", maybe(first("sha")))
+        rows = rows.filter("maybe").join(revisits, met, "left").drop("s", "i").unionByName(rows.filter("not maybe").withColumn("last", F.lit(None).cast(pages.schema[id_col].dataType)))
+    rows = rows.select("id", "url", F.unix_micros("captured").alias("captured"), "body", "sha", F.col("last").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, buffer, size = TaskContext.get().partitionId(), 0, [], 0
@@ -270,7 +288,10 @@ def merge(runs: DataFrame, whole_ids: bool = True, ranges: int | None = None) ->
 
 
 def histories(pages: DataFrame, **columns) -> DataFrame:
-    """Archives written, read back and merged into one ordered index."""
+    """Archives written, read back and merged into one ordered index; capture_no is a capture's place in it, from 1 on."""
     whole = pages.schema[columns.get("id_col", "page_id")].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     archives = keep(write(pages, **columns), "uncompressed")
-    return merge(keep(read(archives, whole)), whole)
+    merged = keep(merge(keep(read(archives, whole)), whole))
+    # one row a range: few, whatever the size of a range
+    before = merged.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return merged.join(F.broadcast(before), "range").withColumn("capture_no", F.col("before") + F.col("place") + 1).drop("before")
