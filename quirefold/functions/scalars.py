@@ -16,11 +16,12 @@ LABEL_NUMBER = rf"(?iU)^({LABELS})\s+(\d+|[ivxlcdm]+)(\s|$)"
 LABEL_NUMBER_ONLY = rf"(?iU)^({LABELS})\s+(\d+|[ivxlcdm]+)$"
 LANGUAGE = r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"
+SPACE = "\t\n\x0b\f\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NOT_XML = r"[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def collapse(c: Column) -> Column:
@@ -107,3 +108,8 @@ def join_path(base: Column, path: Column) -> Column:
     parts = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), "/")
     step = lambda done, p: F.when(p.isin("", "."), done).when((p == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(p)))
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def round_half_even(c: Column, scale: int = 0) -> Column:
+    """Rounding that takes halves to the even neighbour."""
+    return F.bround(c, scale)

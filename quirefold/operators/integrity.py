@@ -42,3 +42,31 @@ def broken_targets(links: DataFrame, entries: DataFrame, ids: DataFrame) -> Data
     no_file = links.join(files, ["doc_id", "path"], "left_anti")
     with_id = links.filter("fragment <> ''").join(files, ["doc_id", "path"], "left_semi")
     return no_file.unionByName(with_id.join(ids.select("doc_id", "path", F.col("id").alias("fragment")), ["doc_id", "path", "fragment"], "left_anti").select(*links.columns))
+
+
+def problems(resources: DataFrame) -> DataFrame:
+    """(doc_id, problem, what) of publications about to be written (doc_id, name, content): names, manifest, spine, navigation, embedded files."""
+    from quirefold.functions.scalars import join_path
+    from quirefold.sources.epub import missing_targets
+
+    r = resources.select("doc_id", "name", "content")
+    text = F.decode("content", "UTF-8")
+    every = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    package = r.filter(F.col("name").endswith(".opf"))
+    item = package.select("doc_id", "name", F.explode(every(r"<item\s[^>]*>", 0)).alias("e"))
+    of = lambda name: F.regexp_extract("e", rf'\s{name}="([^"]*)"', 1)
+    manifest = item.select("doc_id", of("id").alias("item_id"), join_path(F.col("name"), of("href")).alias("path"))
+    spine = package.select("doc_id", F.explode(every(r'<itemref\s[^>]*idref="([^"]*)"', 1)).alias("idref"))
+    pages = r.filter(F.col("name").rlike(r"\.x?html$"))
+    ids = pages.select("doc_id", F.col("name").alias("path"), F.explode(every(r'\sid="([^"]*)"', 1)).alias("id")).distinct()
+    hrefs = r.filter(F.col("name").rlike(r"(nav\.xhtml|\.ncx)$")).select("doc_id", "name", F.explode(every(r'(?:<a\s[^>]*href|<content\s[^>]*src)="([^"]*)"', 1)).alias("h"))
+    links = hrefs.select("doc_id", join_path(F.col("name"), F.regexp_replace("h", "#.*", "")).alias("path"), F.regexp_extract("h", "#(.*)", 1).alias("fragment"))
+    found = [
+        ("repeated name", duplicate_names(r), F.col("name")), ("unsafe name", unsafe_names(r), F.col("name")), ("missing resource", missing_resources(manifest, r), F.col("path")),
+        ("spine", broken_spine(spine, manifest), F.col("idref")), ("navigation target", broken_targets(links, r, ids), F.concat_ws("#", "path", "fragment")), ("embedded file", missing_targets(r), F.col("target")),
+    ]
+    out = None
+    for name, df, what in found:
+        part = df.select("doc_id", F.lit(name).alias("problem"), what.alias("what"))
+        out = part if out is None else out.unionByName(part)
+    return out

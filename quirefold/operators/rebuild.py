@@ -6,17 +6,37 @@ and their headings, word fixes and switches are joined in. The generic profile h
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.functions import scalars as S
+from quirefold.operators.hyphens import Rules as HyphenRules
 
 CHAPTER = r"(?iU)^(chapter|глава)\s+(\d+)[.:\s-]+(.+)$"
 OPEN_END = r"[.!?…:;»)]$"
 BULLET = r"^\s*[•●▪■◦‣·*]\s+(.+)$"
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What is known of a kind of books: tables and switches. Without any, the generic rules hold.
+
+    headings (norm_title, kind): titles that open sections; lexicon (word) and hyphens: for the
+    repair of hyphens in Russian books; words (word, fix): words to replace; run_in: emphasised
+    sentences at the beginning of paragraphs are headings; lists: marked paragraphs are lists.
+    """
+
+    headings: DataFrame | None = None
+    lexicon: DataFrame | None = None
+    hyphens: HyphenRules = field(default_factory=HyphenRules)
+    words: DataFrame | None = None
+    run_in: bool = False
+    lists: bool = False
+
+
 def normalized_title(c):
     """Upper case, white space collapsed, closing asterisks gone, Ё as Е."""
     return F.regexp_replace(F.replace(F.upper(S.collapse(c)), F.lit("Ё"), F.lit("Е")), r"[\s*]+$", "")
@@ -25,13 +45,19 @@ def normalized_title(c):
 def profiles(texts: DataFrame, markers: DataFrame) -> DataFrame:
     """(doc_id, profile): the first profile all of whose markers occur in the document, else generic.
 
-    texts (doc_id, text); markers (profile, rank, marker), a table of rules of bounded size.
+    texts (doc_id, text), pieces of documents; markers (profile, rank, marker), a table of rules. A
+    marker is looked for in every piece as one pattern over all markers, so documents meet no rule
+    that isn't in them.
     """
+    rules = markers.select("profile", "rank", normalized_title(F.col("marker")).alias("marker")).distinct()
+    listed = [r.marker for r in rules.select("marker").distinct().orderBy(F.desc(F.length("marker"))).limit(1000).collect()]
+    every = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
     norm = texts.select("doc_id", normalized_title(F.col("text")).alias("t"))
-    rules = markers.groupBy("profile", "rank").agg(F.collect_list(normalized_title(F.col("marker"))).alias("all"))
-    hits = norm.join(F.broadcast(rules), F.forall("all", lambda m: F.col("t").contains(m)))
-    best = hits.groupBy("doc_id").agg(F.min_by("profile", "rank").alias("profile"))
-    return norm.select("doc_id").distinct().join(best, "doc_id", "left").fillna({"profile": "generic"})
+    hits = norm.select("doc_id", F.explode(F.filter(every, lambda m: F.col("t").contains(m))).alias("marker")).distinct()
+    need = rules.groupBy("profile", "rank").agg(F.count("*").alias("need"))
+    best = hits.join(rules, "marker").groupBy("doc_id", "profile", "rank").agg(F.count("*").alias("got")).join(need, ["profile", "rank"]).filter("got = need")
+    best = best.groupBy("doc_id").agg(F.min_by("profile", "rank").alias("profile"))
+    return texts.select("doc_id").distinct().join(best, "doc_id", "left").fillna({"profile": "generic"})
 
 
 def chapters(blocks: DataFrame, headings: DataFrame | None = None) -> DataFrame:
@@ -58,14 +84,6 @@ def chapters(blocks: DataFrame, headings: DataFrame | None = None) -> DataFrame:
     return d.drop("__title", "__opens", "__norm", "__rule")
 
 
-def section_files(sections: DataFrame) -> DataFrame:
-    """sections (doc_id, section_no, kind, number) with file names; chapters of equal numbers get -2, -3."""
-    base = F.when(F.col("kind") == "chapter", F.format_string("chapter-%02d", F.col("number").cast("int"))).otherwise(F.format_string("%s-%02d", "kind", F.col("section_no").cast("int")))
-    d = sections.withColumn("__base", base)
-    n = F.row_number().over(Window.partitionBy("doc_id", "__base").orderBy("section_no"))
-    return d.withColumn("filename", F.concat(F.when(n == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", n.cast("string"))), F.lit(".xhtml"))).drop("__base")
-
-
 def join_split_paragraphs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, first, text, parts): a paragraph goes on if it lacks a sentence end and the next begins in lower case; a hyphen at the seam goes."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -90,6 +108,51 @@ def bullet_lists(paragraphs: DataFrame) -> DataFrame:
     return d.groupBy("doc_id", "source_path", "list_no").agg(F.min("block_no").alias("first"), F.transform(order, lambda p: p["item"]).alias("items"))
 
 
+def joined_topics(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, block_no, tag, text, xhtml, ids, …) where paragraphs behind a run-in heading take in the paragraphs that go on with their last sentence."""
+    w = Window.partitionBy("doc_id").orderBy("block_no")
+    on = (F.col("tag") == "p") & (F.lag("tag").over(w) == "p") & ~F.lag("text").over(w).rlike(OPEN_END) & F.col("text").rlike(r"^\p{Ll}")
+    d = blocks.withColumn("__g", F.sum((~F.coalesce(on, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    topic = F.first(F.col("xhtml").rlike(r'^<[^>]*class="[^"]*\btopic-body\b')).over(Window.partitionBy("doc_id", "__g").orderBy("block_no"))
+    d = d.withColumn("__g", F.when(topic, F.struct("__g", F.lit(0).alias("n"))).otherwise(F.struct("__g", F.col("block_no").cast("int").alias("n"))))
+    g = Window.partitionBy("doc_id", "__g").orderBy("block_no")
+    inner = F.regexp_extract("xhtml", r"(?s)^<[^>]*?(?:/>|>(.*)</[^>]*>$)", 1)
+    before, follows = F.lag("text").over(g), F.lead("text").over(g).isNotNull()
+    hyphen = F.col("text").endswith("-") & follows
+    glue = F.when(before.isNull() | before.endswith("-"), "").otherwise(" ")
+    cut = F.when(hyphen, F.regexp_replace(inner, r"-((?:\s|</[^>]*>)*)$", "$1")).otherwise(inner)
+    d = d.withColumn("__x", F.concat(glue, cut)).withColumn("__t", F.concat(glue, F.when(hyphen, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")))).withColumn("__open", F.regexp_extract("xhtml", r"^<([^>]*?)/?>", 1))
+    rest = [c for c in blocks.columns if c not in ("block_no", "tag", "text", "xhtml", "ids")]
+    order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("block_no", c))), lambda p: p[c])
+    whole = F.concat(F.lit("<"), F.trim("open"), F.lit(">"), "x", F.lit("</"), F.regexp_extract("open", r"^(\S+)", 1), F.lit(">"))
+    j = d.groupBy("doc_id", "__g").agg(F.count("*").alias("n"), F.min("block_no").alias("block_no"), *[F.min_by(c, "block_no").alias(c) for c in [*rest, "tag", "xhtml"] if c != "doc_id"], F.min_by("__open", "block_no").alias("open"), F.array_join(order("__x"), "").alias("x"), F.array_join(order("__t"), "").alias("text"), F.flatten(order("ids")).alias("ids"))
+    return j.withColumn("xhtml", F.when(F.col("n") > 1, whole).otherwise(F.col("xhtml"))).select(*blocks.columns)
+
+
+def with_lists(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, block_no, path, tag, text, xhtml, ids, …) with consecutive marked paragraphs of one file as one list."""
+    w = Window.partitionBy("doc_id").orderBy("block_no")
+    d = blocks.withColumn("__is", (F.col("tag") == "p") & F.col("text").rlike(BULLET))
+    same = F.col("__is") & F.lag("__is").over(w) & (F.lag("path").over(w) == F.col("path"))
+    d = d.withColumn("__g", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = F.regexp_replace(F.regexp_extract("xhtml", r"(?s)^<[^>]*>(.*)</[^>]*>$", 1), r"^((?:<[^>]*>|\s)*)[•●▪■◦‣·*]\s+", "$1")
+    name = F.regexp_extract("xhtml", r'^<[^>]*\sid="([^"]*)"', 1)
+    item = F.concat(F.lit("<li"), F.when(name != "", F.concat(F.lit(' id="'), name, F.lit('"'))).otherwise(""), F.lit(">"), inner, F.lit("</li>"))
+    d = d.withColumn("__item", item)
+    rest = [c for c in blocks.columns if c not in ("doc_id", "block_no", "tag", "text", "xhtml", "ids")]
+    order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("block_no", c))), lambda p: p[c])
+    j = d.groupBy("doc_id", "__g", "__is").agg(F.min("block_no").alias("block_no"), *[F.min_by(c, "block_no").alias(c) for c in [*rest, "tag", "xhtml"]], F.array_join(order("text"), " ").alias("text"), F.array_join(order("__item"), "").alias("items"), F.flatten(order("ids")).alias("ids"))
+    made = F.concat(F.lit('<ul xmlns="http://www.w3.org/1999/xhtml" class="normalized-list">'), F.regexp_replace("items", r' xmlns="[^"]*"', ""), F.lit("</ul>"))
+    return j.withColumn("xhtml", F.when(F.col("__is"), made).otherwise(F.col("xhtml"))).withColumn("tag", F.when(F.col("__is"), "ul").otherwise(F.col("tag"))).select(*blocks.columns)
+
+
+def title_case(c):
+    """A heading in capitals as a sentence: its first letter large, all others small; others stay."""
+    lower = F.lower(c)
+    first = F.regexp_extract(lower, r"^(\P{L}*\p{L})", 1)
+    return F.when(F.upper(c) == c, F.concat(F.upper(first), F.substr(lower, F.length(first) + 1))).otherwise(c)
+
+
 def figure_alts(rows: DataFrame, word: str = "Figure", most: int = 300) -> DataFrame:
     """Image rows (doc_id, line_no, text, is_image) with figure_no and alt: the last sentence of the text before, if it is neither short nor long."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
@@ -99,15 +162,3 @@ def figure_alts(rows: DataFrame, word: str = "Figure", most: int = 300) -> DataF
     name = F.concat_ws(" ", F.lit(word), F.col("figure_no").cast("string"))
     alt = F.when(F.length("__s").between(15, 170), F.concat(name, F.lit(". "), "__s")).otherwise(name)
     return d.withColumn("alt", F.substring(alt, 1, most)).withColumn("figure_no", F.col("figure_no").cast("long")).drop("__before", "__s")
-
-
-def rewritten_links(links: DataFrame, ids: DataFrame, files: DataFrame) -> DataFrame:
-    """links (doc_id, link_no, path, fragment) with target: the new file of (path, id), where the last one wins, else the path's first new file.
-
-    ids (doc_id, path, id, section_no, new_file); files (doc_id, path, section_no, new_file).
-    """
-    by_id = ids.groupBy("doc_id", "path", F.col("id").alias("fragment")).agg(F.max_by("new_file", "section_no").alias("__by_id"))
-    by_path = files.groupBy("doc_id", "path").agg(F.min_by("new_file", "section_no").alias("__by_path"))
-    d = links.join(by_id, ["doc_id", "path", "fragment"], "left").join(by_path, ["doc_id", "path"], "left")
-    file = F.coalesce("__by_id", "__by_path")
-    return d.withColumn("target", F.when(file.isNull(), None).when(F.col("fragment") == "", file).otherwise(F.concat(file, F.lit("#"), "fragment"))).drop("__by_id", "__by_path")

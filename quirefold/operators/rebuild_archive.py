@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.errors import ArchiveReadError
-from quirefold.operators import metadata, rebuild, render
+from quirefold.functions.scalars import join_path
+from quirefold.operators import hyphens, metadata, rebuild, render, topics
+from quirefold.scratch import keep
 from quirefold.sources import xmltree as X
 
+# Media types of the files that stay.
+MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "css": "text/css", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2"}
 WRAPPED = frozenset(("div", "p", "table", "span"))
 
 
@@ -86,13 +90,34 @@ def source_blocks(entries: DataFrame, headers: DataFrame) -> DataFrame:
     return b.withColumn("block_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("spine_no", "n"))).drop("spine_no", "n")
 
 
-def rebuilt(entries: DataFrame, headers: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+def cleaned(blocks: DataFrame, headers: DataFrame, profile: rebuild.Profile) -> DataFrame:
+    """blocks with their texts repaired as the profile says: hyphens in Russian documents, listed words in all."""
+    keys = ["doc_id", "block_no"]
+    if profile.lexicon is not None:
+        russian = headers.filter(F.lower("language").rlike("^ru\\b")).select("doc_id")
+        mine, rest = blocks.join(russian, "doc_id", "left_semi"), blocks.join(russian, "doc_id", "left_anti")
+        for column in ("xhtml", "text"):
+            mine = hyphens.repair(mine, profile.lexicon, keys, column, profile.hyphens, markup=column == "xhtml").select(*blocks.columns)
+        blocks = mine.unionByName(rest)
+    if profile.words is not None:
+        for column in ("xhtml", "text"):
+            blocks = hyphens.fix_words(blocks, profile.words, keys, column, markup=column == "xhtml").select(*[c for c in blocks.columns if c != "corrections"])
+    return blocks
+
+
+def rebuilt(entries: DataFrame, headers: DataFrame, profile: rebuild.Profile = rebuild.Profile()) -> DataFrame:
     """(doc_id, name, media_type, content): new chapters, navigation and package; images, styles and fonts stay.
 
-    Headings of the first block become h1 with the section's title, missing image texts are made
-    from what precedes, links go to where their target has moved.
+    The first block of a section becomes h1 with the section's title, missing image texts are made
+    from what precedes, links go to where their target has moved, pages keep the stylesheets of the
+    first document.
     """
-    b = rebuild.chapters(source_blocks(entries, headers).persist(), headings)
+    b = keep(cleaned(keep(source_blocks(entries, headers)), headers, profile))
+    if profile.run_in:
+        b = rebuild.joined_topics(topics.expanded(b))
+    if profile.lists:
+        b = rebuild.with_lists(b)
+    b = keep(rebuild.chapters(b, profile.headings))
     first = F.row_number().over(Window.partitionBy("doc_id", "section_no").orderBy("block_no")) == 1
     b = b.withColumn("__first", first & (F.col("section_kind") != "front"))
     nav = F.when(F.col("section_kind") == "front", "front").otherwise(F.format_string("chapter-%03d", "section_no"))
@@ -140,6 +165,19 @@ def rebuilt(entries: DataFrame, headers: DataFrame, headings: DataFrame | None =
     s = s.withColumn("title", F.coalesce("title", F.lit("Front matter"))).withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no")))
     bodies = s.select("doc_id", "filename", F.concat(F.lit('<section id="section-'), "navigation_id", F.lit('">'), "inner", F.lit("</section>")).alias("body"))
     docs = metadata.resolve(headers.filter("error is null").select("doc_id", "title", "author", "language"), fallback="Repaired publication").withColumn("identifier", F.lit(None).cast("string"))
-    made = render.resources(docs, s.select("doc_id", "section_no", "filename", "navigation_id", "title"), bodies)
-    kept = entries.filter(F.col("name").rlike(r"(?i)\.(png|jpe?g|gif|svg|webp|css|ttf|otf|woff2?)$")).select("doc_id", "name", F.lit(None).cast("string").alias("media_type"), "content")
-    return made.unionByName(kept)
+    kept = entries.filter(F.col("name").rlike(r"(?i)\.(png|jpe?g|gif|svg|webp|css|ttf|otf|woff2?)$")).select("doc_id", "name", "content")
+    suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    kept = kept.withColumn("media_type", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair]), suffix), F.lit("application/octet-stream")))
+    extras = kept.select("doc_id", F.concat(F.lit("../"), "name").alias("filename"), "media_type", F.lit("").alias("properties"))
+    made = render.resources(docs, s.select("doc_id", "section_no", "filename", "navigation_id", "title"), bodies, extras=extras)
+    # what the first document links to, each file once
+    names = b.groupBy("doc_id").agg(F.min_by("path", "block_no").alias("name"))
+    found = entries.join(names, ["doc_id", "name"]).select("doc_id", "name", F.posexplode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"<link\s[^>]*>"), F.lit(0))).alias("i", "link")).filter(F.col("link").rlike(r'\brel="stylesheet"'))
+    path = join_path(F.col("name"), F.regexp_extract("link", r'\shref="([^"]*)"', 1))
+    found = found.groupBy("doc_id", path.alias("name")).agg(F.min("i").alias("i")).join(kept.select("doc_id", "name"), ["doc_id", "name"], "left_semi")
+    tag = F.concat(F.lit('<link rel="stylesheet" type="text/css" href="../../'), "name", F.lit('"/>'))
+    links = found.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", tag.alias("t")))), lambda p: p["t"]), "").alias("links"))
+    own = '<link rel="stylesheet" type="text/css" href="../styles/book.css"/>'
+    linked = F.replace(F.decode("content", "UTF-8"), F.lit(own), F.concat(F.coalesce("links", F.lit("")), F.lit(own)))
+    made = made.join(links, "doc_id", "left").withColumn("content", F.when(F.col("name").startswith("EPUB/text/"), F.encode(linked, "UTF-8")).otherwise(F.col("content"))).drop("links")
+    return made.unionByName(kept.select("doc_id", "name", "media_type", "content"))

@@ -47,34 +47,72 @@ def _listed(order: str, item: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda p: p["i"]), "")
 
 
-def resources(docs: DataFrame, sections: DataFrame, bodies: DataFrame, modified: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def flat_navigation(sections: DataFrame) -> DataFrame:
+    """(doc_id, entry_no, depth, title, href): an entry per section; those that begin with a heading have an anchor."""
+    anchor = F.when(F.col("navigation_id").startswith("chapter"), F.concat(F.lit("#"), "navigation_id")).otherwise("")
+    return sections.select("doc_id", F.col("section_no").alias("entry_no"), F.lit(1).alias("depth"), "title", F.concat("filename", anchor).alias("href"))
+
+
+def nested(entries: DataFrame) -> DataFrame:
+    """(doc_id, toc, points, levels): nested lists and points of entries (doc_id, entry_no, depth, title, href) in reading order.
+
+    A tree in pre-order needs no recursion: an entry opens as many levels as the next one is deeper,
+    and closes as many as it is higher.
+    """
+    w = Window.partitionBy("doc_id").orderBy("entry_no")
+    d = entries.withColumn("__no", F.row_number().over(w)).withColumn("__next", F.coalesce(F.lead("depth").over(w), F.lit(1)))
+    last = F.lead("depth").over(w).isNull()
+    d = d.withColumn("__up", F.when(last, F.col("depth") - 1).otherwise(F.greatest(F.lit(0), F.col("depth") - F.col("__next")))).withColumn("__deeper", ~last & (F.col("__next") > F.col("depth")))
+    title, href = escape_xml(F.col("title")), escape_xml(F.col("href"))
+    n = F.col("__no").cast("string")
+    close = F.when(F.col("__deeper"), "<ol>").otherwise(F.concat(F.lit("</li>"), F.repeat(F.lit("</ol></li>"), F.col("__up"))))
+    item = F.concat(F.lit('<li><a href="'), href, F.lit('">'), title, F.lit("</a>"), close)
+    ends = F.when(F.col("__deeper"), "").otherwise(F.repeat(F.lit("</navPoint>"), F.col("__up") + 1))
+    point = F.concat(F.lit('<navPoint id="p'), n, F.lit('" playOrder="'), n, F.lit('"><navLabel><text>'), title, F.lit('</text></navLabel><content src="'), href, F.lit('"/>'), ends)
+    return d.groupBy("doc_id").agg(_listed("__no", item).alias("toc"), _listed("__no", point).alias("points"), F.max("depth").alias("levels"))
+
+
+def resources(docs: DataFrame, sections: DataFrame, bodies: DataFrame | None, modified: str = "2000-01-01T00:00:00Z", navigation: DataFrame | None = None, pages: DataFrame | None = None, extras: DataFrame | None = None, fixed: bool = False) -> DataFrame:
     """(doc_id, name, media_type, content) of EPUB 3 publications, the archive's fixed parts included.
 
     docs (doc_id, title, author, language, identifier); modified is a parameter, so that equal
-    inputs make equal archives.
+    inputs make equal archives. navigation (doc_id, entry_no, depth, title, href): a tree in reading
+    order, else the sections; pages (doc_id, page_no, label, href): the printed pages; extras
+    (doc_id, filename, media_type, properties): further files for the manifest, which the caller
+    adds; fixed: pages of fixed layout. Without bodies, the caller adds the sections' files too.
     """
     meta = docs.select("doc_id", F.coalesce("title", F.lit("Untitled")).alias("book"), "author", F.coalesce("language", F.lit("und")).alias("language"), F.coalesce("identifier", F.concat(F.lit("urn:uuid:"), uuid_of(F.col("doc_id").cast("string")))).alias("identifier"))
-    s = sections.join(bodies.select("doc_id", "filename", "body"), ["doc_id", "filename"]).join(meta, "doc_id")
-    xhtml = s.select("doc_id", F.concat(F.lit("EPUB/"), "filename").alias("name"), F.lit("application/xhtml+xml").alias("media_type"), page(F.col("language"), F.col("title"), F.col("body")).alias("content"))
-    heading = F.col("navigation_id").startswith("chapter")
-    href = F.concat(escape_xml(F.col("filename")), F.when(heading, F.concat(F.lit("#"), "navigation_id")).otherwise(""))
-    toc = _listed("section_no", F.concat(F.lit('<li><a href="'), href, F.lit('">'), escape_xml(F.col("title")), F.lit("</a></li>")))
-    points = _listed("section_no", F.concat(F.lit('<navPoint id="p'), F.col("section_no").cast("string"), F.lit('" playOrder="'), F.col("section_no").cast("string"), F.lit('"><navLabel><text>'), escape_xml(F.col("title")), F.lit('</text></navLabel><content src="'), href, F.lit('"/></navPoint>')))
     items = _listed("section_no", F.concat(F.lit('<item id="'), "navigation_id", F.lit('" href="'), escape_xml(F.col("filename")), F.lit('" media-type="application/xhtml+xml"/>')))
     spine = _listed("section_no", F.concat(F.lit('<itemref idref="'), "navigation_id", F.lit('"/>')))
-    d = meta.join(s.groupBy("doc_id").agg(toc.alias("toc"), points.alias("points"), items.alias("items"), spine.alias("spine")), "doc_id")
-    nav = page(F.col("language"), F.col("book"), F.concat(F.lit('<nav epub:type="toc"><ol>'), "toc", F.lit("</ol></nav>")), "styles/book.css")
-    ncx = F.concat(F.lit(HEAD + '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="'), escape_xml(F.col("identifier")), F.lit('"/><meta name="dtb:depth" content="1"/></head><docTitle><text>'), escape_xml(F.col("book")), F.lit("</text></docTitle><navMap>"), "points", F.lit("</navMap></ncx>"))
+    d = meta.join(sections.groupBy("doc_id").agg(items.alias("items"), spine.alias("spine")), "doc_id").join(nested(flat_navigation(sections) if navigation is None else navigation), "doc_id")
+    if pages is not None:
+        label = _listed("page_no", F.concat(F.lit('<li><a href="'), escape_xml(F.col("href")), F.lit('">'), escape_xml(F.col("label")), F.lit("</a></li>")))
+        d = d.join(pages.groupBy("doc_id").agg(label.alias("listed")), "doc_id", "left")
+    else:
+        d = d.withColumn("listed", F.lit(None).cast("string"))
+    if extras is not None:
+        n = F.row_number().over(Window.partitionBy("doc_id").orderBy("filename"))
+        more = F.concat(F.lit('<item id="r'), F.col("__n").cast("string"), F.lit('" href="'), escape_xml(F.col("filename")), F.lit('" media-type="'), "media_type", F.lit('"'), F.coalesce(F.concat(F.lit(' properties="'), F.nullif("properties", F.lit("")), F.lit('"')), F.lit("")), F.lit("/>"))
+        d = d.join(extras.withColumn("__n", n).groupBy("doc_id").agg(_listed("filename", more).alias("more")), "doc_id", "left")
+    else:
+        d = d.withColumn("more", F.lit(""))
+    listed = F.coalesce(F.concat(F.lit('<nav epub:type="page-list" hidden="hidden"><ol>'), "listed", F.lit("</ol></nav>")), F.lit(""))
+    nav = page(F.col("language"), F.col("book"), F.concat(F.lit('<nav epub:type="toc"><ol>'), "toc", F.lit("</ol></nav>"), listed), "styles/book.css")
+    ncx = F.concat(F.lit(HEAD + '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="'), escape_xml(F.col("identifier")), F.lit('"/><meta name="dtb:depth" content="'), F.col("levels").cast("string"), F.lit('"/></head><docTitle><text>'), escape_xml(F.col("book")), F.lit("</text></docTitle><navMap>"), "points", F.lit("</navMap></ncx>"))
     creator = F.coalesce(F.concat(F.lit("<dc:creator>"), escape_xml(F.col("author")), F.lit("</dc:creator>")), F.lit(""))
+    layout = "".join(f'<meta property="rendition:{k}">{v}</meta>' for k, v in (("layout", "pre-paginated"), ("orientation", "auto"), ("spread", "auto"))) if fixed else ""
     opf = F.concat(
         F.lit(HEAD + '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="book-id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="book-id">'), escape_xml(F.col("identifier")),
         F.lit("</dc:identifier><dc:title>"), escape_xml(F.col("book")), F.lit("</dc:title><dc:language>"), escape_xml(F.col("language")), F.lit("</dc:language>"), creator,
-        F.lit(f'<meta property="dcterms:modified">{modified}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="css" href="styles/book.css" media-type="text/css"/>'),
-        "items", F.lit('</manifest><spine toc="ncx">'), "spine", F.lit("</spine></package>"),
+        F.lit(f'<meta property="dcterms:modified">{modified}</meta>{layout}</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="css" href="styles/book.css" media-type="text/css"/>'),
+        "items", F.coalesce("more", F.lit("")), F.lit('</manifest><spine toc="ncx">'), "spine", F.lit("</spine></package>"),
     )
-    fixed = [("mimetype", "application/epub+zip", F.lit("application/epub+zip")), ("META-INF/container.xml", "application/xml", F.lit(CONTAINER)), ("EPUB/package.opf", "application/oebps-package+xml", opf), ("EPUB/nav.xhtml", "application/xhtml+xml", nav), ("EPUB/toc.ncx", "application/x-dtbncx+xml", ncx), ("EPUB/styles/book.css", "text/css", F.lit(CSS))]
-    rows = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("media_type"), c.alias("content")) for n, m, c in fixed])).alias("r")).select("doc_id", "r.*")
-    return rows.unionByName(xhtml).withColumn("content", F.encode("content", "UTF-8"))
+    parts = [("mimetype", "application/epub+zip", F.lit("application/epub+zip")), ("META-INF/container.xml", "application/xml", F.lit(CONTAINER)), ("EPUB/package.opf", "application/oebps-package+xml", opf), ("EPUB/nav.xhtml", "application/xhtml+xml", nav), ("EPUB/toc.ncx", "application/x-dtbncx+xml", ncx), ("EPUB/styles/book.css", "text/css", F.lit(CSS))]
+    rows = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("media_type"), c.alias("content")) for n, m, c in parts])).alias("r")).select("doc_id", "r.*")
+    if bodies is not None:
+        s = sections.join(bodies.select("doc_id", "filename", "body"), ["doc_id", "filename"]).join(meta, "doc_id")
+        rows = rows.unionByName(s.select("doc_id", F.concat(F.lit("EPUB/"), "filename").alias("name"), F.lit("application/xhtml+xml").alias("media_type"), page(F.col("language"), F.col("title"), F.col("body")).alias("content")))
+    return rows.withColumn("content", F.encode("content", "UTF-8"))
 
 
 def uuid_of(c: Column) -> Column:
@@ -89,20 +127,20 @@ def facsimile_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
     pages (doc_id, page_number, width, height, href, language); words (doc_id, page_number,
     word_no, text, left, top, width, height), already scaled to the image.
     """
-    size = F.format_string("left:%.2fpx;top:%.2fpx;width:%.2fpx;height:%.2fpx;font-size:%.2fpx", *[F.col(c).cast("double") for c in ("left", "top", "width", "height")], F.greatest(F.lit(1.0), F.col("height").cast("double")))
-    span = F.concat(F.lit('<span style="'), size, F.lit('">'), escape_xml(F.col("text")), F.lit("</span>"))
+    place = F.format_string("position:absolute;left:%.2fpx;top:%.2fpx;width:%.2fpx;height:%.2fpx;font-size:%.2fpx;color:transparent;white-space:pre", *[F.col(c).cast("double") for c in ("left", "top", "width", "height")], F.greatest(F.lit(1.0), F.col("height").cast("double")))
+    span = F.concat(F.lit('<span style="'), place, F.lit('">'), escape_xml(F.col("text")), F.lit("</span>"))
     layer = words.select("doc_id", "page_number", F.struct("word_no", span.alias("s")).alias("w")).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["s"]), "").alias("layer"))
-    n, wide, tall = F.col("page_number").cast("string"), F.col("width").cast("string"), F.col("height").cast("string")
-    d = pages.join(layer, ["doc_id", "page_number"], "left")
+    n, wide, tall, lang = (F.col("page_number").cast("string"), F.col("width").cast("string"), F.col("height").cast("string"), escape_xml(F.col("language")))
     a, b, c, *_ = XHTML.split("{0}")
     content = F.concat(
-        F.lit(HEAD + a), escape_xml(F.col("language")), F.lit(b), escape_xml(F.col("language")), F.lit(c + "<head><title>Page "), n, F.lit('</title><meta name="viewport" content="width='), wide, F.lit(",height="), tall,
-        F.lit('"/><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head><body class="fixed-page"><div class="facsimile" id="page-'), n, F.lit('"><img src="'), escape_xml(F.col("href")), F.lit('" alt="" width="'), wide, F.lit('" height="'), tall,
-        F.lit('"/><div class="text-layer">'), F.coalesce("layer", F.lit("")), F.lit("</div></div></body></html>"),
+        F.lit(HEAD + "<!DOCTYPE html>\n" + a), lang, F.lit(b), lang, F.lit(c + "<head><title>Page "), n, F.lit('</title><meta name="viewport" content="width='), wide, F.lit(",height="), tall,
+        F.lit('"/></head><body style="margin:0"><div id="page-'), n, F.lit('" style="position:relative;width:'), wide, F.lit("px;height:"), tall, F.lit('px"><img src="../'), escape_xml(F.col("href")), F.lit('" alt="Page '), n, F.lit('" width="'), wide, F.lit('" height="'), tall,
+        F.lit('"/>'), F.coalesce("layer", F.lit("")), F.lit("</div></body></html>"),
     )
-    return d.select("doc_id", "page_number", content.alias("content"))
+    return pages.join(layer, ["doc_id", "page_number"], "left").select("doc_id", "page_number", content.alias("content"))
 
 
-def scaled(words: DataFrame, x: float, y: float) -> DataFrame:
-    """words with their boxes scaled to another resolution."""
-    return words.withColumns({"left": F.col("left") * x, "width": F.col("width") * x, "top": F.col("top") * y, "height": F.col("height") * y})
+def scaled(words: DataFrame) -> DataFrame:
+    """words with their boxes scaled from source_width and source_height to width and height of their page's image (to_width, to_height)."""
+    x, y = F.col("to_width") / F.col("source_width"), F.col("to_height") / F.col("source_height")
+    return words.filter("source_width > 0 and source_height > 0").withColumns({"left": F.col("left") * x, "width": F.col("width") * x, "top": F.col("top") * y, "height": F.col("height") * y})

@@ -1,9 +1,10 @@
 """From lines to blocks and sections: running heads, headings, subtitles, paragraphs, chapters.
 
-Every step is a window over a document's lines or an aggregate by document, so one shuffle by
-doc_id serves them all. One rule is truly sequential: whether a line continues a chapter heading
-depends on the heading as merged so far. Documents that have a labelled heading (or one that ends
-in a soft hyphen) go through a fold in grouped pandas; all others stay in the plan.
+Every step is a window over a document's lines, statistics of documents and pages included, so
+one shuffle by doc_id serves them all and nothing is joined. One rule is truly sequential: whether
+a line continues a chapter heading depends on the heading as merged so far. Documents that have a
+labelled heading (or one that ends in a soft hyphen) go through a fold in grouped pandas; all
+others stay in the plan. The two parts read the same shuffle.
 """
 
 from __future__ import annotations
@@ -25,51 +26,71 @@ def doc_order():
     return Window.partitionBy("doc_id").orderBy("page_number", "line_no")
 
 
-def body_stats(lines: DataFrame) -> DataFrame:
-    """(doc_id, body_size, body_margin, median_width): weighted median size, 20 % quantile of indents, median length."""
+def _whole():
+    """All lines of a document, in the windows' common order."""
+    return doc_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _stats() -> dict[str, Column]:
+    """Aggregates: weighted median size, 20 % quantile of indents, median length."""
     n = F.length("text")
-    return lines.filter(S.strip(F.col("text")) != "").groupBy("doc_id").agg(
-        F.expr("percentile(font_size, 0.5, greatest(1, least(20, length(text) div 8)))").alias("body_size"),
-        F.expr("percentile_disc(0.2) within group (order by x) filter (where length(text) >= 20 and x is not null)").alias("body_margin"),
-        F.coalesce(F.median(F.when(n >= 20, n)), F.lit(80.0)).alias("median_width"),
-    )
+    return {
+        "body_size": F.expr("percentile(font_size, 0.5, greatest(1, least(20, length(text) div 8)))"),
+        "body_margin": F.expr("percentile_disc(0.2) within group (order by case when length(text) >= 20 then x end)"),
+        "median_width": F.median(F.when(n >= 20, n)),
+    }
+
+
+def body_stats(lines: DataFrame) -> DataFrame:
+    """(doc_id, body_size, body_margin, median_width) of every document."""
+    d = lines.filter(S.strip(F.col("text")) != "").groupBy("doc_id").agg(*[c.alias(n) for n, c in _stats().items()])
+    return d.withColumn("median_width", F.coalesce("median_width", F.lit(80.0)))
+
+
+def with_body_stats(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank with their document's statistics."""
+    d = lines.filter(S.strip(F.col("text")) != "").withColumns({n: c.over(Window.partitionBy("doc_id")) for n, c in _stats().items()})
+    return d.withColumn("median_width", F.coalesce("median_width", F.lit(80.0)))
 
 
 def margin_candidates(lines: DataFrame) -> DataFrame:
     """lines with top and bottom: in the outer tenths if all lines of the page have a position, else the outer two lines."""
-    page = Window.partitionBy("doc_id", "page_number")
-    placed = F.every(F.col("y").isNotNull()).over(page)
-    up = F.row_number().over(page.orderBy("line_no"))
-    down = F.row_number().over(page.orderBy(F.desc("line_no")))
+    page = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
+    every = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tall = F.col("page_height")
     return (
-        lines.withColumn("__placed", placed).withColumn("__up", up).withColumn("__down", down)
+        lines.withColumns({"__placed": F.every(F.col("y").isNotNull()).over(every), "__up": F.row_number().over(page), "__rows": F.count("*").over(every)})
         .withColumn("top", F.when(F.col("__placed"), F.col("y") >= tall * 0.9).otherwise(F.col("__up") <= 2))
-        .withColumn("bottom", F.when(F.col("__placed"), F.col("y") <= tall * 0.1).otherwise(F.col("__down") <= 2))
-        .drop("__placed", "__up", "__down")
+        .withColumn("bottom", F.when(F.col("__placed"), F.col("y") <= tall * 0.1).otherwise(F.col("__rows") - F.col("__up") < 2))
+        .drop("__placed", "__up", "__rows")
     )
 
 
+_REPEATED = "__norm <> '' and __pages >= 3 and __seen >= __threshold"
+
+
+def _margins(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank with top, bottom, and how often their text stands in margins: one of both zones of a page counts twice."""
+    d = lines.filter(S.strip(F.col("text")) != "").withColumn("__pages", F.size(F.collect_set("page_number").over(_whole())))
+    d = margin_candidates(d).withColumn("__norm", S.normalize(F.col("text")))
+    same = Window.partitionBy("doc_id", "__norm")
+    zone = lambda c: F.size(F.collect_set(F.when(F.col(c), F.col("page_number"))).over(same))
+    return d.withColumn("__seen", (zone("top") + zone("bottom")).cast("long")).withColumn("__threshold", F.greatest(F.lit(2), F.floor(F.col("__pages") * 0.6 + 0.999)))
+
+
 def running_heads(lines: DataFrame) -> DataFrame:
-    """(doc_id, norm, seen, threshold, repeated) of every margin text; one of both zones of a page counts twice."""
-    m = margin_candidates(lines)
-    zones = F.explode(F.array_compact(F.array(F.when(F.col("top"), F.lit(0)), F.when(F.col("bottom"), F.lit(1)))))
-    seen = m.select("doc_id", "page_number", S.normalize(F.col("text")).alias("norm"), zones.alias("zone")).distinct()
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_number").alias("pages"))
-    out = seen.groupBy("doc_id", "norm").agg(F.count("*").alias("seen")).join(pages, "doc_id")
-    out = out.withColumn("threshold", F.greatest(F.lit(2), F.floor(F.col("pages") * 0.6 + 0.999)))
-    return out.withColumn("repeated", (F.col("norm") != "") & (F.col("pages") >= 3) & (F.col("seen") >= F.col("threshold"))).drop("pages")
+    """(doc_id, norm, seen, threshold, repeated) of every margin text."""
+    d = _margins(lines).filter("__seen > 0 and (top or bottom)")
+    return d.select("doc_id", F.col("__norm").alias("norm"), F.col("__seen").alias("seen"), F.col("__threshold").alias("threshold"), F.expr(_REPEATED).alias("repeated")).distinct()
 
 
 def without_running_heads(lines: DataFrame) -> DataFrame:
     """lines without repeated margin texts and without page numbers in the numeric margin."""
-    m = margin_candidates(lines.filter(S.strip(F.col("text")) != "")).withColumn("__norm", S.normalize(F.col("text")))
-    repeated = running_heads(lines).filter("repeated").select("doc_id", F.col("norm").alias("__norm"), F.lit(True).alias("__again"))
-    m = m.join(repeated, ["doc_id", "__norm"], "left")
+    m = _margins(lines)
     numeric = F.when(F.col("y").isNotNull(), (F.col("y") >= F.col("page_height") * 0.9) | (F.col("y") <= F.col("page_height") * 0.1)).otherwise(F.col("page_start") | F.col("page_end"))
     number = S.strip(F.col("text")).rlike(S.PAGE_NUMBER) & numeric
-    gone = (F.col("top") | F.col("bottom")) & (F.coalesce("__again", F.lit(False)) | number)
-    return m.filter(~F.coalesce(gone, F.lit(False))).drop("__norm", "__again", "top", "bottom")
+    gone = (F.col("top") | F.col("bottom")) & (F.expr(_REPEATED) | number)
+    return m.filter(~F.coalesce(gone, F.lit(False))).drop("__norm", "__pages", "__seen", "__threshold", "top", "bottom")
 
 
 def _true(c: Column) -> Column:
@@ -81,7 +102,7 @@ def heading_flags(lines: DataFrame, outlines: DataFrame | None = None) -> DataFr
 
     outlines: (doc_id, title), titles that make a line a heading by their text alone.
     """
-    d = lines.filter(S.strip(F.col("text")) != "").join(body_stats(lines), "doc_id")
+    d = with_body_stats(lines)
     if outlines is not None:
         titles = outlines.select("doc_id", S.normalize(F.col("title")).alias("__norm"), F.lit(True).alias("__listed")).distinct()
         d = d.withColumn("__norm", S.normalize(F.col("text"))).join(titles, ["doc_id", "__norm"], "left")
@@ -142,8 +163,7 @@ def kinds(lines: DataFrame, outlines: DataFrame | None = None, fold_all: bool =
     d = heading_flags(lines, outlines)
     text = S.strip(F.col("text"))
     special = F.col("is_heading") & (text.rlike(S.LABEL) | text.endswith(SOFT))
-    odd = F.lit(True) if fold_all else F.max(special).over(Window.partitionBy("doc_id"))
-    d = d.withColumn("__odd", odd)
+    d = d.withColumn("__odd", F.lit(True) if fold_all else F.max(special).over(_whole()))
     folded = T.StructType([*d.schema.fields, *[T.StructField(n, T.BooleanType()) for n in ("__heading", "__upper", "__merged")]])
     plain = d.filter(~F.col("__odd")).withColumns({n: F.lit(None).cast("boolean") for n in ("__heading", "__upper", "__merged")})
     d = plain.unionByName(d.filter("__odd").groupBy("doc_id").applyInPandas(_fold, folded)).drop("__odd")

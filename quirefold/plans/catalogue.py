@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirefold.functions import scalars as S
 from quirefold.operators import layout, structure
@@ -201,8 +202,9 @@ def zone_lines_to_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.query(r"SELECT doc_id, line_no, length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 4 AND length(text) <= 140 AND length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) >= 0.65 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS uppercase FROM lines", O.LINES))
 def uppercase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), ((S.letters(t) >= 4) & (F.length(t) <= 140) & S.looks_upper(t)).alias("uppercase"))
+    from quirefold.operators import ocr_text
+
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), ocr_text.upper_line(F.col("text")).alias("uppercase"))
 
 
 # web pages
@@ -320,8 +322,10 @@ def cover_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.transform("embedding", lambda x: x.cast("double"))
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + F.abs(x))
     s = F.round(F.get(e, F.lit(0)) * 4 + F.get(e, F.lit(1)) * 3 + total / 384, 6)
-    d = table(spark, sf_dir, "embeddings").select("label", "vec_id", s.alias("s"))
-    return d.groupBy("label").agg(F.max_by("vec_id", F.struct("s", "vec_id")).alias("cover"), F.round(F.max("s"), 6).alias("score"))
+    from quirefold.operators import visual
+
+    d = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), "vec_id", s.alias("score"))
+    return visual.covers(d, "vec_id").withColumnRenamed("doc_id", "label")
 
 
 @query("""
@@ -379,10 +383,246 @@ def section_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("doc_id", F.col("chapter_no").alias("section"), F.md5("body").alias("body_md5"))
 
 
-# without SQL: archives, dictionaries, marked paragraphs
+# recognised text, words, lists
+
+
+#: Documents' words written in Cyrillic letters, of which every third or so has an o between two letters.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшжыз"
+_RUSSIAN = f"russian AS (SELECT doc_id, line_no, translate(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +', ' ', 'g')), '{_LATIN}', '{_CYRILLIC}') AS text FROM lines)"
+
+
+def _russian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +", " "))
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.translate(t, _LATIN, _CYRILLIC).alias("text"))
+
+
+def _lexicon(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''").distinct()
+
+
+@query(O.query("SELECT doc_id, line_no, md5(text) AS text_md5, len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^.+о.+$')))::INTEGER AS corrections FROM russian", O.LINES, _RUSSIAN))
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in Cyrillic letters, some of them taken for Latin ones, repaired by the corpus' own words."""
+    from quirefold.operators import ocr_text
+
+    d = _russian(spark, sf_dir)
+    damaged = d.withColumn("text", F.regexp_replace("text", "([а-я])о([а-я])", "$1o$2"))
+    got = ocr_text.repair(damaged, _lexicon(d), ["doc_id", "line_no"])
+    return got.select("doc_id", "line_no", F.md5("text").alias("text_md5"), "corrections")
+
+
+_CUT = "length(w) >= 6 AND left(w, 3) <> substr(w, 4)"
+
+
+@query(O.query(f"SELECT doc_id, line_no, md5(text) AS text_md5, len(list_filter(string_split(text, ' '), lambda w: {_CUT}))::INTEGER AS corrections FROM russian", O.LINES, _RUSSIAN))
+def hyphen_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in Cyrillic letters, longer words cut by a hyphen, repaired by the corpus' own words."""
+    from quirefold.operators import hyphens
+
+    d = _russian(spark, sf_dir)
+    cut = F.transform(F.split("text", " "), lambda w: F.when((F.length(w) >= 6) & (F.substring(w, 1, 3) != F.substr(w, F.lit(4))), F.concat(F.substring(w, 1, 3), F.lit("-"), F.substr(w, F.lit(4)))).otherwise(w))
+    got = hyphens.repair(d.withColumn("text", F.array_join(cut, " ")), _lexicon(d), ["doc_id", "line_no"])
+    return got.select("doc_id", "line_no", F.md5("text").alias("text_md5"), "corrections")
+
+
+@query(O.query("SELECT doc_id, line_no, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN w <> '' AND length(w) % 4 = 0 THEN w || 'ъ' ELSE w END), ' ')) AS text_md5, len(list_filter(string_split(text, ' '), lambda w: w <> '' AND length(w) % 4 = 0))::INTEGER AS corrections FROM russian", O.LINES, _RUSSIAN))
+def word_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in Cyrillic letters, words of 4, 8, 12 letters replaced by a table of fixes."""
+    from quirefold.operators import hyphens
+
+    d = _russian(spark, sf_dir)
+    fixes = _lexicon(d).filter(F.length("word") % 4 == 0).select("word", F.concat("word", F.lit("ъ")).alias("fix"))
+    return hyphens.fix_words(d, fixes, ["doc_id", "line_no"]).select("doc_id", "line_no", F.md5("text").alias("text_md5"), "corrections")
+
+
+_BULLET = r"'^\s*[•●▪■◦‣·*]\s+(.+)$'"
+
+
+@query(O.query(f"""
+SELECT doc_id, source AS source_path, list_no, min(line_no) AS first, md5(string_agg(item, chr(10) ORDER BY line_no)) AS items_md5, count(*) AS items FROM (
+  SELECT *, sum(CASE WHEN is_item AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS list_no FROM (
+    SELECT *, lag(is_item) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM (
+      SELECT doc_id, source, line_no, regexp_matches(t, {_BULLET}) AS is_item, regexp_extract(t, {_BULLET}, 1) AS item FROM (SELECT *, CASE WHEN line_no % 3 <> 0 THEN '• ' || text ELSE text END AS t FROM lines))))
+WHERE is_item GROUP BY 1, 2, 3""", O.LINES))
+def bullet_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as paragraphs of their source, two of three marked."""
+    from quirefold.operators import rebuild
+
+    docs = table(spark, sf_dir, "documents")
+    d = _lines(spark, sf_dir).join(docs.select("doc_id", F.col("source").alias("source_path")), "doc_id").withColumn("block_no", F.col("line_no").cast("long"))
+    got = rebuild.bullet_lists(d.withColumn("text", F.when(F.col("line_no") % 3 != 0, F.concat(F.lit("• "), "text")).otherwise(F.col("text"))))
+    return got.select("doc_id", "source_path", "list_no", "first", F.md5(F.array_join("items", "\n")).alias("items_md5"), F.size("items").cast("long").alias("items"))
+
+
+@query(O.query("""
+SELECT doc_id, line_no, i, tag, text FROM (
+  SELECT doc_id, line_no, 0 AS i, 'h3' AS tag, h AS text FROM topics WHERE good UNION ALL SELECT doc_id, line_no, 1, 'p', b FROM topics WHERE good
+  UNION ALL SELECT doc_id, line_no, 0, 'p', h || '. ' || b FROM topics WHERE NOT good)""", O.LINES, """
+split AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')), ' ') AS ws FROM lines),
+halves AS (SELECT doc_id, line_no, array_to_string(ws[1:3], ' ') AS h, array_to_string(ws[4:], ' ') AS b FROM split WHERE len(ws) > 3),
+topics AS (SELECT *, length(h) BETWEEN 3 AND 140 AND regexp_matches(h, '^[A-Z]') AND length(b) >= 10 AS good FROM halves)"""))
+def run_in_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as paragraphs whose first three words are an emphasised sentence."""
+    from quirefold.operators import topics
+
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), " +", " ")), " ")
+    d = _lines(spark, sf_dir).withColumn("ws", words).filter(F.size("ws") > 3)
+    head, body = F.array_join(F.slice("ws", 1, 3), " "), F.array_join(F.slice("ws", F.lit(4), F.size("ws")), " ")
+    xhtml = F.concat(F.lit('<p xmlns="http://www.w3.org/1999/xhtml"><em>'), head, F.lit(".</em> "), body, F.lit("</p>"))
+    blocks = d.select(F.struct("doc_id", F.col("line_no").cast("long").alias("line_no")).alias("doc_id"), F.lit(1).alias("block_no"), F.lit("p").alias("tag"), F.concat(head, F.lit(". "), body).alias("text"), xhtml.alias("xhtml"), F.array().cast("array<string>").alias("ids"))
+    got = topics.expanded(blocks)
+    return got.select("doc_id.doc_id", "doc_id.line_no", (F.col("block_no") - 1).alias("i"), "tag", "text")
+
+
+@query(O.query(r"SELECT doc_id, line_no, CASE WHEN upper(text) = text THEN upper(regexp_extract(lower(text), '^([^\p{L}]*\p{L})', 1)) || substr(lower(text), length(regexp_extract(lower(text), '^([^\p{L}]*\p{L})', 1)) + 1) ELSE text END AS title FROM lines", O.LINES))
+def sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in capitals as sentences."""
+    from quirefold.operators import rebuild
+
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), rebuild.title_case(F.col("text")).alias("title"))
+
+
+#: Marker texts of made-up profiles.
+_MARKERS = [("long", 2, "THE"), ("long", 2, "AND"), ("short", 1, "license"), ("short", 1, "software"), ("none", 3, "no text has this")]
+_MARKED = " ".join(f"WHEN {' AND '.join(f'contains(t, {m.upper()!r})' for p, _, m in _MARKERS if p == name)} THEN {name!r}" for name in ("short", "long", "none"))
+
+
+@query(rf"SELECT doc_id, CASE {_MARKED} ELSE 'generic' END AS profile FROM (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)")
+def book_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first profile all of whose markers a document has."""
+    from quirefold.operators import rebuild
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rebuild.profiles(docs, spark.createDataFrame(_MARKERS, "profile string, rank int, marker string"))
+
+
+@query(O.query("""SELECT doc_id, block_no, CASE WHEN kind = 'heading' AND p.n IS NOT NULL THEN 'paragraph' ELSE kind END AS kind FROM blocks b LEFT JOIN (
+  SELECT doc_id AS d, page_number AS p, count(*) AS n FROM cleaned WHERE page_number <= 5 GROUP BY 1, 2 HAVING count(*) <= 15 AND NOT bool_or(regexp_matches(text, '(?i)^(chapter|part|book|section|introduction|conclusion|appendix|contents|глава|часть|книга|введение|заключение|приложение|оглавление)($|[^\\p{L}\\p{N}_])'))) p
+  ON b.doc_id = p.d AND b.page_number = p.p""", O.PAGES, O.ZONES, O.HEADS, O.kinds("cleaned"), O.JOINED))
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all documents, headings on sparse early pages as paragraphs."""
+    body = _body(spark, sf_dir)
+    return layout.demote_front_matter(structure.blocks(body), body).select("doc_id", "block_no", "kind")
+
 
+# reports of tools, navigation, archives
 
-@query()
+
+@query(O.query("SELECT doc_id, block, line, n::INTEGER AS word_no, text, coalesce(o, 0) * 6 AS left_px, length(text) * 6 AS width, CASE WHEN (block * 37 + n * 17) % 101 >= 30 THEN (block * 37 + n * 17) % 101 END::DOUBLE AS confidence FROM words", _OCR))
+def ocr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all turns written as a recogniser's reports and parsed again."""
+    from quirefold.sources import tools
+
+    w = synthetic.ocr_words(table(spark, sf_dir, "conversations"))
+    row = F.concat_ws("\t", F.lit("5"), F.lit("1"), *[F.col(c).cast("string") for c in ("block", "paragraph", "line", "word_no", "left", "top", "width", "height", "confidence")], "text")
+    head = "\t".join(("level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"))
+    line = F.concat_ws("\t", F.lit("4"), F.lit("1"), F.col("block").cast("string"), *[F.lit("0")] * 8, F.lit(""))
+    rows = F.sort_array(F.collect_list(F.struct("block", "line", "word_no", F.concat_ws("\n", F.when(F.col("word_no") == 1, line), row).alias("r"))))
+    reports = w.groupBy("doc_id", "page_number").agg(F.concat(F.lit(head + "\n"), F.array_join(F.transform(rows, lambda r: r["r"]), "\n")).alias("tsv"))
+    got = tools.tsv_words(reports)
+    place = F.row_number().over(Window.partitionBy("doc_id", "block", "line").orderBy("word_no"))
+    sure = F.when(F.col("confidence") >= 30, F.col("confidence"))
+    return got.select("doc_id", F.col("block").cast("long").alias("block"), F.col("line").cast("long").alias("line"), place.alias("word_no"), "text", F.col("left").cast("long").alias("left_px"), F.col("width").cast("long").alias("width"), sure.alias("confidence"))
+
+
+@query(O.query("SELECT doc_id, page_number, line_no, text, (x - 10)::INTEGER AS left_px, (y - 20)::INTEGER AS bottom, greatest(1, length(text) * 3) AS width FROM lines WHERE y < 760 AND y > 30", O.PAGES.replace("t <> ''", "t <> ''").replace("regexp_replace(s, '^\\s+|\\s+$', '', 'g')", "trim(regexp_replace(regexp_replace(s, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g'))")))
+def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body lines of all pages written as zones in parentheses, their page's corner at 10, 20, and parsed again."""
+    from quirefold.sources import tools
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[^A-Za-z \n]+", ""), " +", " ").alias("text"), "source")
+    p = synthetic.pages(docs).filter("y < 760 and y > 30")
+    x, y = F.col("x").cast("int"), F.col("y").cast("int")
+    zone = F.format_string('(line %d %d %d %d "%s")', x, y, x + F.greatest(F.lit(1), F.length("text") * 3), y + 10, F.col("text"))
+    order = F.sort_array(F.collect_list(F.struct("line_no", zone.alias("z"))))
+    reports = p.groupBy("doc_id", "page_number").agg(F.concat(F.lit("(page 10 20 622 812 "), F.array_join(F.transform(order, lambda z: z["z"]), "\n"), F.lit(")")).alias("zones"))
+    got = tools.zones(reports)
+    return got.select("doc_id", "page_number", (F.col("line_no") + 1).cast("long").alias("line_no"), "text", F.col("left").alias("left_px"), "bottom", F.col("width").cast("long").alias("width"))
+
+
+@query("""
+WITH h AS (SELECT conv_id AS doc_id, turn AS entry_no, text, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations),
+m AS (SELECT *, max(CASE WHEN level = 1 THEN entry_no END) OVER w AS one, max(CASE WHEN level = 2 THEN entry_no END) OVER w AS two0 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, CASE WHEN coalesce(two0, -1) > coalesce(one, -1) THEN two0 END AS two FROM m),
+d AS (SELECT doc_id, entry_no, CASE WHEN (CASE level WHEN 1 THEN NULL WHEN 2 THEN one ELSE coalesce(two, one) END) IS NULL THEN 1 WHEN level = 3 AND two IS NOT NULL AND one IS NOT NULL THEN 3 ELSE 2 END AS depth FROM n),
+e AS (SELECT *, lead(depth) OVER (PARTITION BY doc_id ORDER BY entry_no) AS nx, row_number() OVER (PARTITION BY doc_id ORDER BY entry_no) AS k FROM d),
+f AS (SELECT *, '<li><a href="t.xhtml#e' || entry_no || '">Turn ' || entry_no || '</a>' || CASE WHEN nx > depth THEN '<ol>' ELSE '</li>' || repeat('</ol></li>', (CASE WHEN nx IS NULL THEN depth - 1 ELSE greatest(0, depth - nx) END)::INT) END AS item,
+  '<navPoint id="p' || k || '" playOrder="' || k || '"><navLabel><text>Turn ' || entry_no || '</text></navLabel><content src="t.xhtml#e' || entry_no || '"/>' || CASE WHEN nx > depth THEN '' ELSE repeat('</navPoint>', (CASE WHEN nx IS NULL THEN depth - 1 ELSE greatest(0, depth - nx) END + 1)::INT) END AS point FROM e)
+SELECT doc_id, max(depth) AS levels, md5(string_agg(item, '' ORDER BY k)) AS toc_md5, md5(string_agg(point, '' ORDER BY k)) AS points_md5 FROM f GROUP BY 1""")
+def nested_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as headings of three levels, as nested lists and points."""
+    from quirefold.operators import render
+
+    tree = nav_tree(spark, sf_dir)
+    n = F.col("entry_no").cast("string")
+    got = render.nested(tree.select("doc_id", "entry_no", "depth", F.concat(F.lit("Turn "), n).alias("title"), F.concat(F.lit("t.xhtml#e"), n).alias("href")))
+    return got.select("doc_id", "levels", F.md5("toc").alias("toc_md5"), F.md5("points").alias("points_md5"))
+
+
+@query(f"""
+WITH e AS (SELECT conv_id AS doc_id, turn AS elem_no, CASE role WHEN 'system' THEN 'h1' WHEN 'user' THEN 'h2' ELSE 'p' END AS tag, coalesce(text, '') AS text FROM conversations),
+h AS (SELECT *, 'heading-' || coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64), ''), 'heading') AS slug FROM e WHERE tag <> 'p'),
+a AS (SELECT *, slug || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END AS anchor FROM h WINDOW w AS (PARTITION BY doc_id, slug ORDER BY elem_no))
+SELECT e.doc_id, e.elem_no, e.tag, anchor FROM e LEFT JOIN a ON e.doc_id = a.doc_id AND e.elem_no = a.elem_no""")
+def word_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as elements of Word documents; headings get ids that no other heading of the document has."""
+    from quirefold.plans import convert
+
+    tag = F.when(F.col("role") == "system", "h1").when(F.col("role") == "user", "h2").otherwise("p")
+    text = F.coalesce("text", F.lit(""))
+    e = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("elem_no"), tag.alias("tag"), text.alias("text"), F.concat(F.lit("<"), tag, F.lit(">"), S.escape_xml(text), F.lit("</"), tag, F.lit(">")).alias("xhtml"), F.lit(None).cast("string").alias("error"))
+    got = convert.word_headings(e)
+    return got.select("doc_id", "elem_no", "tag", F.nullif(F.regexp_extract("xhtml", '^<h[1-3] id="([^"]*)">', 1), F.lit("")).alias("anchor"))
+
+
+@query("""
+WITH w AS (SELECT conv_id AS doc_id, turn AS page_number, unnest(ws) AS text, unnest(range(1, len(ws) + 1)) AS n FROM (SELECT conv_id, turn, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM conversations)),
+b AS (SELECT *, (n - 1) * 10 * 2.0 AS l, n * 4 * 0.5 AS t, length(text) * 6 * 2.0 AS wd, 12 * 0.5 AS h, replace(replace(replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e FROM w)
+SELECT doc_id, page_number, count(*) AS words, md5(string_agg(printf('<span style="position:absolute;left:%.2fpx;top:%.2fpx;width:%.2fpx;height:%.2fpx;font-size:%.2fpx;color:transparent;white-space:pre">', l, t, wd, h, h) || e || '</span>', '' ORDER BY n)) AS layer_md5 FROM b GROUP BY 1, 2""")
+def facsimile_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages: their words scaled to an image of twice the width and half the height, and placed over it."""
+    from quirefold.operators import render
+
+    ws = F.filter(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), lambda x: x != "")
+    w = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), F.posexplode(ws).alias("i", "text"))
+    w = w.select("doc_id", "page_number", (F.col("i") + 1).alias("word_no"), "text", (F.col("i") * 10).alias("left"), ((F.col("i") + 1) * 4).alias("top"), (F.length("text") * 6).alias("width"), F.lit(12).alias("height"), F.lit(600).alias("source_width"), F.lit(800).alias("source_height"), F.lit(1200).alias("to_width"), F.lit(400).alias("to_height"))
+    pages = w.select("doc_id", "page_number").distinct().select("doc_id", "page_number", F.lit(1200).alias("width"), F.lit(400).alias("height"), F.lit("images/p.png").alias("href"), F.lit("en").alias("language"))
+    d = render.facsimile_pages(pages, render.scaled(w))
+    layer = F.regexp_extract("content", r"(?s)height=\"400\"/>(.*)</div></body></html>$", 1)
+    return d.select("doc_id", "page_number", F.regexp_count(layer, F.lit("<span ")).cast("long").alias("words"), F.md5(layer).alias("layer_md5"))
+
+
+@query(O.query("""
+SELECT page_id AS doc_id, 'repeated name' AS problem, name AS what FROM names GROUP BY page_id, name HAVING count(*) > 1
+UNION ALL SELECT n.page_id, 'unsafe name', n.name FROM names n LEFT JOIN deepest d ON n.page_id = d.page_id AND n.link_no = d.link_no
+  WHERE n.name = '' OR contains(n.name, '\\') OR starts_with(n.name, '/') OR d.low < 0""", _ANCHORS, """
+names AS (SELECT page_id, link_no, href AS name FROM links),
+steps AS (SELECT page_id, link_no, unnest(list_transform(ps, lambda p: CASE WHEN p = '..' THEN -1 WHEN p IN ('', '.') THEN 0 ELSE 1 END)) AS s, unnest(range(len(ps))) AS i FROM (SELECT page_id, link_no, string_split(name, '/') AS ps FROM names)),
+deepest AS (SELECT page_id, link_no, min(reached) AS low FROM (SELECT *, sum(s) OVER (PARTITION BY page_id, link_no ORDER BY i) AS reached FROM steps) GROUP BY 1, 2)"""))
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages as names of archive entries: which repeat, which lead out."""
+    from quirefold.operators import integrity
+
+    names = html.anchors(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.col("href").alias("name"))
+    again = integrity.duplicate_names(names).select("doc_id", F.lit("repeated name").alias("problem"), F.col("name").alias("what"))
+    return again.unionByName(integrity.unsafe_names(names).select("doc_id", F.lit("unsafe name").alias("problem"), F.col("name").alias("what")))
+
+
+@query(O.query("SELECT page_id, link_no::INTEGER AS link_no, url_decode(href) AS decoded, CASE WHEN href = '' THEN '' ELSE upper(left(href, 1)) || lower(substr(href, 2)) END AS capital FROM links", _ANCHORS))
+def decoded_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with their percent signs resolved, and with a capital."""
+    d = html.anchors(table(spark, sf_dir, "pages"))
+    return d.select("page_id", "link_no", S.unquote(F.col("href")).alias("decoded"), S.capitalize(F.col("href")).alias("capital"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(l_quantity * 0.5, 0)::DOUBLE AS halves FROM lineitem")
+def half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.round_half_even(F.col("l_quantity") * 0.5).cast("double").alias("halves"))
+
+
+@query(O.query("""
+SELECT d.doc_id, '3.0' AS version, coalesce(nullif(trim(source), ''), 'Untitled') AS title, CASE WHEN regexp_matches(trim(lang), '^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$') THEN trim(lang) ELSE 'und' END AS language,
+       6 + n AS entries, 0::BIGINT AS changed, 0::BIGINT AS missing, NULL::VARCHAR AS error FROM documents d JOIN (SELECT doc_id, count(*) AS n FROM sections GROUP BY 1) s ON d.doc_id = s.doc_id""", O.LINES, O.ZONES, O.HEADS, O.kinds("cleaned"), O.JOINED, O.SECTIONS))
 def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document published as an archive, read again, its links checked and its content repaired."""
     from quirefold.operators import repair
@@ -391,26 +631,8 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("language"))
     archives, _ = convert.publish_lines(text.lines(docs), docs)
-    entries, heads = epub.read(archives.persist())
+    entries, heads = epub.read(archives)
     mended = repair.repair(entries, heads)
     n = mended.groupBy("doc_id").agg(F.count("*").alias("entries"), F.sum(F.col("changed").cast("int")).alias("changed"))
     missing = epub.missing_targets(entries).groupBy("doc_id").agg(F.count("*").alias("missing"))
     return heads.join(n, "doc_id").join(missing, "doc_id", "left").select("doc_id", "version", "title", "language", "entries", "changed", F.coalesce("missing", F.lit(0)).alias("missing"), "error")
-
-
-@query()
-def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damaged Russian lines and a small dictionary."""
-    from quirefold.operators import ocr_text
-
-    rows = [(1, "Это кнuга о cлове."), (2, "в нём сушность"), (3, "plain text"), (4, "r.А. Иванов"), (5, None)]
-    return ocr_text.repair(spark.createDataFrame(rows, "line_no int, text string"), ["книга", "слове", "сущность"])
-
-
-@query()
-def bullet_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked paragraphs of two files."""
-    from quirefold.operators import rebuild
-
-    rows = [(1, "a", 1, "text"), (1, "a", 2, "• one"), (1, "a", 3, "• two"), (1, "a", 4, "text"), (1, "a", 5, "* three"), (1, "b", 6, "● four")]
-    return rebuild.bullet_lists(spark.createDataFrame(rows, "doc_id int, source_path string, block_no int, text string"))

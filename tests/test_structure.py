@@ -68,6 +68,12 @@ def test_lines_of_text(spark):
     assert got == [("One", 2.0, True, True, True, False), ("Two", 0.0, True, False, False, False), ("Three", 1.0, False, True, False, True)]
 
 
+def test_runs_of_blank_lines_and_odd_line_ends(spark):
+    d = spark.createDataFrame([(1, "\n \n  a\n\n\n\nb\r\rc\x0b\x0c\u2028\n d \n \n"), (2, "one"), (3, " \u00a0\n\t")], "doc_id int, text string")
+    got = [(r.doc_id, r.line_no, r.text, r.x, r.blank_before, r.blank_after, r.page_start, r.page_end) for r in lines(d).orderBy("doc_id", "line_no").collect()]
+    assert got == [(1, 1, "a", 2.0, True, True, True, False), (1, 2, "b", 0.0, True, True, False, False), (1, 3, "c", 0.0, True, True, False, False), (1, 4, "d", 1.0, True, True, False, True), (2, 1, "one", 0.0, True, True, True, True)]
+
+
 def test_fragments_near_the_running_median_share_a_line(spark):
     rows = [(1, 1, 1, "a", 10.0, 100.0), (1, 1, 2, "b", 30.0, 97.0), (1, 1, 3, "c", 50.0, 94.0), (1, 1, 4, "d", 70.0, 80.0)]
     f = spark.createDataFrame([(*r, 12.0, "Bold", 612.0) for r in rows], "doc_id int, page_number int, frag_no int, text string, x double, y double, font_size double, font_name string, page_width double")
