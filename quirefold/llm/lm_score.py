@@ -7,11 +7,12 @@ data by half and half, which gives code lengths per byte that mix all depths. Th
 count as the past; scores are taken with the tree as it then is.
 
 Counting: texts are dealt into blocks of about BLOCK bytes. A block sums its (DEPTH + 1)-byte
-sequences and its words, cut into SHARDS shards: of sequences by the last two bytes of their
-contexts, of words by their hashes. Every context seen once is in the tree, whatever the size of
-the corpus; what is gathered grows with it, and stays in the shards. Of contexts of two bytes or
-fewer, which alone have nodes in more than one shard, the weights are worked out on the driver
-and broadcast; an alphabet has only so many.
+sequences and its words, cut into shards, more of them the more text there is: of sequences by a
+hash of the last three bytes of their contexts, of words by their hashes. Every context seen once
+is in the tree, whatever the size of the corpus; what is gathered grows with it, and stays in the
+shards. Of contexts of two bytes or fewer, which alone have nodes in more than one shard, the
+shards add up counts and what longer contexts make of the data; the weights are worked out on the
+driver and broadcast. There are 65,793 such contexts at most.
 
 Scoring: a block asks each shard for its distinct sequences and words by a shuffle, a shard
 answers with the probabilities and counts, and the block's texts are scored where the answers meet.
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import WordHashes, bounded_batches, chunks, keep, runs_of, tidied, utf8
 
 DEPTH = 5
-SPLIT = 2  # contexts of so many bytes share a shard
-SHARDS = 256
+SPLIT = 2  # contexts of more bytes lie in one shard, those of so many and fewer in several
+SHARD = 4 << 20  # bytes of text a shard
+LEAST_SHARDS, MOST_SHARDS = 64, 1 << 16
 BLOCK = 32 << 20
 END = 0xFF  # not a byte of UTF-8
 _KEPT = 0xFE  # in the table of sequences, says that the context itself is in the tree
@@ -167,31 +169,33 @@ class Top:
     """The contexts of up to SPLIT bytes, whose nodes are in several shards."""
 
     def __init__(self, parts: list[list[tuple[np.ndarray, ...]]]):
-        """parts: of each shard, for each level, the nodes of SPLIT bytes: keys, zeros, ones, what they make of all their data."""
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(SPLIT)]
+        """parts: of each shard, for each level, its part of the nodes of SPLIT bytes: keys, zeros, ones, what longer contexts make of their data."""
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(SPLIT + 1)]
         self.inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for level in range(8):
-            keys = np.concatenate([np.zeros(0, np.uint64), *[p[level][0] for p in parts]])
-            order = np.argsort(keys)
-            a, b, whole = (np.concatenate([np.zeros(0), *[p[level][i] for p in parts]])[order] for i in (1, 2, 3))
-            depth: list = [(keys[order], a, b)]
+            keys, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *[p[level][0] for p in parts]]), return_inverse=True)
+            a, b, longer = (np.bincount(back, np.concatenate([np.zeros(0), *[p[level][i] for p in parts]]), len(keys)) for i in (1, 2, 3))
+            depth: list = [(keys, a, b)]
             for _ in range(SPLIT):
                 k, back = np.unique(_parent(depth[0][0], level), return_inverse=True)
                 depth.insert(0, (k, *(np.bincount(back, x, len(k)) for x in depth[0][1:])))
+            mine = _kt(a, b)
+            whole = np.logaddexp(mine, longer) - np.log(2)
             parents, own, _ = _up(depth, level, whole)
+            own[SPLIT] = np.exp(np.minimum(mine - np.log(2) - whole, 0))
             root = np.zeros(len(depth[0][0]))
             for d, (p, given, left) in enumerate(_down(depth, parents, own, root, root + 1)):
-                if d < SPLIT:
-                    self.nodes[d].append((depth[d][0], p.astype(np.float32)))
-            self.inner.append((depth[SPLIT][0], given, left))
+                self.nodes[d].append((depth[d][0], p.astype(np.float32)))
+            self.inner.append((keys, given + left * own[SPLIT] * (b + 0.5) / (a + b + 1), left * (1 - own[SPLIT])))
 
     @staticmethod
     def part(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """A shard's nodes of SPLIT bytes, of its whole sequences."""
+        """A shard's part of the nodes of SPLIT bytes, of its whole sequences."""
         grams, out = _grams(keys, n, SPLIT), []
         for level in range(8):
             depth = _nodes(grams, level)
-            out.append((*depth[0][:3], _up(depth, level)[2]))
+            parents = np.searchsorted(depth[0][0], _parent(depth[1][0], level))
+            out.append((*depth[0][:3], np.bincount(parents, _up(depth[1:], level)[2], len(depth[0][0]))))
         return out
 
 
@@ -236,7 +240,7 @@ class Tree:
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, top: Top | None = None):
         """keys, n: distinct whole sequences in order and their counts."""
-        start = SPLIT if top else 0
+        start = SPLIT + 1 if top else 0
         grams = _grams(keys, n, start)
         self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [*(top.nodes if top else []), *[[] for _ in grams]]
         bits = [np.zeros(len(k)) for k, _ in grams]
@@ -246,7 +250,7 @@ class Tree:
             given, left = np.zeros(len(depth[0][0])), np.ones(len(depth[0][0]))
             if top:
                 inner, given, left = top.inner[level]
-                at = np.searchsorted(inner, depth[0][0])
+                at = np.searchsorted(inner, _parent(depth[0][0], level))
                 given, left = given[at], left[at]
             for d, (p, *_) in enumerate(_down(depth, parents, own, given, left)):
                 node, _, _, of, one = depth[d]
@@ -309,19 +313,24 @@ def _lowered(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterato
     yield from chunks((x.lower() for x in utf8(batch.column(column))), most)
 
 
-def _rows(block: int, what: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(block: int, what: int, shards: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """A block's keys and counts, a row per shard; shards follow the order of the words."""
-    shard = (keys >> np.uint64(56)).astype(np.int64) if what else _shard(keys)
+    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32) if what else _shard(keys, shards)
     order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
     rows = [(s, packed(np.diff(keys[order[i:j]], prepend=np.uint64(0)).astype("<u8")), packed(n[order[i:j]].astype("<u4")), bool(n[order[i:j]].any())) for s, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if j > i]
     shards, k, c, learned = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([what] * len(rows), pa.int32()), pa.array(shards, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(learned), *[pa.nulls(len(rows), pa.binary())] * 2], _BLOCKS)
 
 
-def _shard(keys: np.ndarray) -> np.ndarray:
-    shard = (keys >> np.uint64(8 * (DEPTH + 1 - SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-    return (shard % np.uint64(SHARDS)).astype(np.int64)
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the last SPLIT + 1 bytes of the contexts."""
+    return ((keys >> np.uint64(8 * (DEPTH - SPLIT))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
+
+
+def shards_for(size: int) -> int:
+    """How many shards so many bytes of text are cut into, a power of two."""
+    return min(MOST_SHARDS, max(LEAST_SHARDS, 1 << (-(-size // SHARD) - 1).bit_length()))
 
 
 def _keys(b: bytes) -> np.ndarray:
@@ -333,7 +342,7 @@ _BLOCK_TYPES = "block bigint, what int, shard int, keys binary, n binary, learne
 _SEQUENCES, _WORDS = 0, 1
 
 
-def blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+def blocks(df: DataFrame, train: Column, id_col: str, text_col: str, shards: int = LEAST_SHARDS) -> DataFrame:
     """Per block of texts a row of its documents, and a row per shard of its distinct sequences and of its words, with their counts in texts where train holds."""
     bounded_batches(df.sparkSession)
 
@@ -343,7 +352,7 @@ def blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFram
 
         def block() -> Iterator[pa.RecordBatch]:
             for what, sums in held.items():
-                yield _rows(number, what, *sums.all())
+                yield _rows(number, what, shards, *sums.all())
             ids = pa.chunked_array(parts).combine_chunks()
             docs = _stream(ids, np.array([len(x) for x in texts]))
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
@@ -373,12 +382,12 @@ def blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFram
     return keep(rows.mapInArrow(tidied(run), _BLOCK_TYPES), "uncompressed")
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """By keys into as many partitions as are set: their bytes are few for the work in them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def _dealt(df: DataFrame, least: int, *keys: str) -> DataFrame:
+    """By keys into as many partitions as are set, or more: what a task reads must not grow with the corpus."""
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
-def learned(parts: DataFrame) -> DataFrame:
+def learned(parts: DataFrame, shards: int = LEAST_SHARDS) -> DataFrame:
     """(what, shard, keys, n, total, distinct, top): the sums of all blocks; top: a shard's nodes of SPLIT bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +402,7 @@ def learned(parts: DataFrame) -> DataFrame:
             row = [what], [t.column("shard")[0].as_py()], [packed(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))], [packed(n.astype("<i8"))], [int(n.sum())], [len(n)], [top]
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["what", "shard", "keys", "n", "total", "distinct", "top"])
 
-    d = _dealt(parts.filter("learned").select("what", "shard", "keys", "n"), "what", "shard").sortWithinPartitions("what", "shard")
+    d = _dealt(parts.filter("learned").select("what", "shard", "keys", "n"), shards, "what", "shard").sortWithinPartitions("what", "shard")
     return keep(d.mapInArrow(tidied(run), "what int, shard int, keys binary, n binary, total bigint, distinct bigint, top binary"), "uncompressed")
 
 
@@ -409,7 +418,7 @@ def grow(train: DataFrame) -> Tree:
     return Tree(*sums.all())
 
 
-def answered(parts: DataFrame, model: DataFrame) -> DataFrame:
+def answered(parts: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     """(block, what, shard, keys, got): log2 of the probabilities of a block's sequences, and how often its words were learned."""
     top = parts.sparkSession.sparkContext.broadcast(_top(model))
 
@@ -435,7 +444,7 @@ def answered(parts: DataFrame, model: DataFrame) -> DataFrame:
 
     asks = parts.filter("what is not null").select("block", "what", "shard", "keys", F.lit(None).cast("binary").alias("n"))
     both = model.select(F.lit(None).cast("bigint").alias("block"), "what", "shard", "keys", "n").unionByName(asks)
-    ordered = _dealt(both, "what", "shard").sortWithinPartitions("what", "shard", F.col("block").asc_nulls_first())
+    ordered = _dealt(both, shards, "what", "shard").sortWithinPartitions("what", "shard", F.col("block").asc_nulls_first())
     return ordered.mapInArrow(tidied(run), "block bigint, what int, shard int, keys binary, got binary")
 
 
@@ -454,8 +463,10 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     train: a condition on the columns of df; rows where it holds are learned from.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    parts = blocks(df, train, id_col, text_col)
-    model = learned(parts)
+    size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    shards = shards_for(size)
+    parts = blocks(df, train, id_col, text_col, shards)
+    model = learned(parts, shards)
     total, distinct = model.filter(F.col("what") == _WORDS).agg(F.sum("total"), F.sum("distinct")).first()
     total, below = total or 0, (total or 0) + 0.5 * ((distinct or 0) + 1)
 
@@ -495,8 +506,8 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 ["id", "n_bytes", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    answers = answered(parts, model).unionByName(parts.filter("what is null").select("block", "docs", "texts"), allowMissingColumns=True)
-    ordered = _dealt(answers, "block").sortWithinPartitions("block", F.col("what").asc_nulls_last(), "shard")
+    answers = answered(parts, model, shards).unionByName(parts.filter("what is null").select("block", "docs", "texts"), allowMissingColumns=True)
+    ordered = _dealt(answers, shards, "block").sortWithinPartitions("block", F.col("what").asc_nulls_last(), "shard")
     out = ordered.select("what", "keys", "got", "docs", "texts").mapInArrow(tidied(run), f"id {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     bits = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)
     return out.select("id", "n_bytes", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

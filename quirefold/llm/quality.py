@@ -218,7 +218,11 @@ def score_column(spark, model: Model, text: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_in=None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns; no row moves."""
+    """The documents that the classifier accepts, with all their columns.
+
+    Scores are computed where the rows are. Labelled documents are found by a broadcast of the
+    labels' ids; with more of them than that allows, the documents meet them by a shuffle.
+    """
     ids = labels.select(F.col("doc_id").alias("__qf_id")).distinct()
     known = docs.select(F.col(id_col), F.col(text_col)).join(ids_hint(ids, ids.count()), F.col(id_col) == F.col("__qf_id"), "left_semi")
     model = fit(labelled(features(known, id_col, text_col), labels, keep_in=keep_in))
