@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 
 from quirefold.llm import chat, exact_dedup, lm_score, media, mixing, near_dedup, pieces, quality, substring_dedup, warc
-from quirefold.llm.common import components, shingles
+from quirefold.llm.common import WordHashes, components, shingles
 from quirefold.llm.queries import PIECES, TOKENS
 
 CLASH = "doc_id bigint, text string, source string, id string, row string, h string, same string, n string, size string, key string"
@@ -71,6 +71,23 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     assert got == {i: (max(j for j in range(1500) if j % 900 == i % 900), sum(j % 900 == i % 900 for j in range(1500))) for i in range(1500)}
 
 
+def test_ranges_of_hashes_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 1 << 17)
+    rows = [(i, f"text {i % 25000}") for i in range(30000)]
+    assert exact_dedup.ranges(30000) == 4
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = exact_dedup.groups(d)
+    assert got.filter("kept").count() == 25000 and got.filter("group_size = 2").count() == 10000 and exact_dedup.dedup(d).count() == 25000
+
+
+def test_dedup_passes_any_columns_through(spark):
+    rows = [(1, "a", "s", 1, {"k": 1}, ["x"]), (2, "A", "s", 2, {"k": 2}, ["x"]), (2, "a", "t", 3, {"k": 3}, None), (3, "b", None, 4, None, ["y"]), (None, "A", "u", 5, {"k": 5}, None), (None, None, "v", 6, None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, sha string, `a.b` int, m map<string,int>, l array<string>")
+    got = exact_dedup.dedup(d)
+    assert got.columns == d.columns
+    assert sorted((r[0] or -1, r[1] or "", r[3]) for r in got.collect()) == [(-1, "", 6), (2, "A", 2), (3, "b", 4)]
+
+
 def test_hot_texts(spark):
     rows = [(i, "same" if i % 3 else f"t{i}") for i in range(900)]
     assert sum(r.kept for r in exact_dedup.groups(docs(spark, rows)).collect()) == 301
@@ -115,6 +132,13 @@ def test_mix_repeats_rows(odd, empty):
     assert mixing.mix(empty, mixing.five_two_one).count() == 0 and mixing.shares(empty, mixing.five_two_one).count() == 0
 
 
+def test_mix_passes_any_columns_through(spark):
+    d = spark.createDataFrame([(i, "w " * 5, "st"[i % 2], i, {"k": i}) for i in range(20)], "doc_id bigint, text string, source string, `a.b` int, whole map<string,int>")
+    got = mixing.mix(d, mixing.five_two_one)
+    want = {r.id: r.repeats for r in mixing.shares(d, mixing.five_two_one).collect()}
+    assert got.columns == d.columns and Counter(r.doc_id for r in got.collect()) == +Counter(want)
+
+
 def test_mix_deals_out_what_repeated_rows_take(spark):
     rows = [(1, "a b", "x"), (1, "c d", "x")] + [(i % 3, "e f g", "y") for i in range(21)] + [(None, "h", "z")] * 5
     d = docs(spark, rows)
@@ -375,6 +399,40 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert got == brute_groups(rows, k, 80)
 
 
+def edited_copies(rng, n, size=100, most=8):
+    """n copies of one text, each with up to so many words replaced: some pairs are links, most are just not."""
+    base = [f"b{i}" for i in range(size)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for j in rng.sample(range(size), rng.randint(3, most)):
+            copy[j] = f"n{i}.{j}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_a_large_group_of_near_copies_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 40)
+    rows = edited_copies(random.Random(4), 250)
+    got = {r.id: (r.n, r.root) for r in near_dedup.groups(docs(spark, rows), k=2).collect()}
+    assert got == brute_groups(rows, 2, 80) and len({x for _, x in got.values()}) > 1
+
+
+def test_a_block_puts_out_fewer_links_than_rows():
+    rows = edited_copies(random.Random(5), 600)
+    want = brute_groups(rows, 2, 80)
+    sets = near_dedup.shingle_sets([t.encode() for _, t in rows], 2, WordHashes())
+    ids = np.arange(len(rows))
+    asks, twice = np.repeat([True, False], len(rows)), np.concatenate([ids, ids])
+    a, b = near_dedup.block_links(asks, asks | True, twice, twice, sets + sets, 80)
+    assert len(a) == len(rows) - len({r for _, r in want.values()})
+    root = {i: i for i in ids}
+    for x, y in sorted(zip(a, b, strict=True)):
+        low, high = sorted((root[x], root[y]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    assert all(root[i] == want[i][1] for i in ids)
+
+
 def test_near_dedup_of_odd_rows(odd, empty):
     g = near_dedup.groups(odd, k=2)
     got = sorted((r.id or -1, r.n, r.root if r.root is not None else -1) for r in g.collect())
