@@ -16,6 +16,8 @@ from quirefold.functions import scalars as S
 from quirefold.operators.hyphens import Rules as HyphenRules
 
 CHAPTER = r"(?iU)^(chapter|глава)\s+(\d+)[.:\s-]+(.+)$"
+#: Markers of all profiles; more of them would make too long a pattern, and are refused.
+MOST_MARKERS = 1000
 OPEN_END = r"[.!?…:;»)]$"
 BULLET = r"^\s*[•●▪■◦‣·*]\s+(.+)$"
 
@@ -25,14 +27,16 @@ class Profile:
     """What is known of a kind of books: tables and switches. Without any, the generic rules hold.
 
     headings (norm_title, kind): titles that open sections; lexicon (word) and hyphens: for the
-    repair of hyphens in Russian books; words (word, fix): words to replace; run_in: emphasised
-    sentences at the beginning of paragraphs are headings; lists: marked paragraphs are lists.
+    repair of hyphens in Russian books; words (word, fix): words to replace; sequences: letters that
+    stand for others where that makes a word of the lexicon; run_in: emphasised sentences at the
+    beginning of paragraphs are headings; lists: marked paragraphs are lists.
     """
 
     headings: DataFrame | None = None
     lexicon: DataFrame | None = None
     hyphens: HyphenRules = field(default_factory=HyphenRules)
     words: DataFrame | None = None
+    sequences: tuple[tuple[str, str], ...] = ()
     run_in: bool = False
     lists: bool = False
 
@@ -50,7 +54,9 @@ def profiles(texts: DataFrame, markers: DataFrame) -> DataFrame:
     that isn't in them.
     """
     rules = markers.select("profile", "rank", normalized_title(F.col("marker")).alias("marker")).distinct()
-    listed = [r.marker for r in rules.select("marker").distinct().orderBy(F.desc(F.length("marker"))).limit(1000).collect()]
+    listed = sorted(r.marker for r in rules.select("marker").distinct().limit(MOST_MARKERS + 1).collect())
+    if len(listed) > MOST_MARKERS:
+        raise ValueError(f"more than {MOST_MARKERS} markers")
     every = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
     norm = texts.select("doc_id", normalized_title(F.col("text")).alias("t"))
     hits = norm.select("doc_id", F.explode(F.filter(every, lambda m: F.col("t").contains(m))).alias("marker")).distinct()
@@ -70,7 +76,7 @@ def chapters(blocks: DataFrame, headings: DataFrame | None = None) -> DataFrame:
     opens = F.when(F.col("__title").isNotNull(), "chapter")
     if headings is not None:
         rules = headings.select(F.col("norm_title").alias("__norm"), F.col("kind").alias("__rule"))
-        d = d.withColumn("__norm", normalized_title(F.col("text"))).join(F.broadcast(rules), "__norm", "left")
+        d = d.withColumn("__norm", normalized_title(F.col("text"))).join(rules, "__norm", "left")
         opens = F.coalesce(opens, F.col("__rule"))
         # each title opens one section only: the first
         n = F.row_number().over(Window.partitionBy("doc_id", "__norm").orderBy("block_no"))

@@ -24,6 +24,8 @@ from quirefold.sources import xmltree as X
 
 # Media types of the files that stay.
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "css": "text/css", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2"}
+# Elements of a package's metadata that stay as they are.
+KEPT = ("contributor", "coverage", "date", "description", "format", "publisher", "relation", "rights", "source", "subject", "type")
 WRAPPED = frozenset(("div", "p", "table", "span"))
 
 
@@ -99,12 +101,26 @@ def cleaned(blocks: DataFrame, headers: DataFrame, profile: rebuild.Profile) ->
         for column in ("xhtml", "text"):
             mine = hyphens.repair(mine, profile.lexicon, keys, column, profile.hyphens, markup=column == "xhtml").select(*blocks.columns)
         blocks = mine.unionByName(rest)
-    if profile.words is not None:
-        for column in ("xhtml", "text"):
-            blocks = hyphens.fix_words(blocks, profile.words, keys, column, markup=column == "xhtml").select(*[c for c in blocks.columns if c != "corrections"])
+    columns = blocks.columns
+    for column in ("xhtml", "text"):
+        if profile.words is not None:
+            blocks = hyphens.fix_words(blocks, profile.words, keys, column, markup=column == "xhtml").select(*columns)
+        if profile.sequences and profile.lexicon is not None:
+            blocks = hyphens.fix_sequences(blocks, profile.sequences, profile.lexicon, keys, column, markup=column == "xhtml").select(*columns)
     return blocks
 
 
+def kept_metadata(entries: DataFrame, headers: DataFrame) -> DataFrame:
+    """(doc_id, identifier, metadata): what packages say beside title, author and language, as elements without attributes."""
+    package = entries.join(headers.filter("error is null").select("doc_id", F.col("package_path").alias("name")), ["doc_id", "name"]).select("doc_id", F.decode("content", "UTF-8").alias("xml"))
+    element = r"<(?:\w+:)?({})(?:\s[^>]*)?>\s*([^<]*?)\s*</"
+    rest = element.format("|".join(KEPT))
+    names, texts = F.regexp_extract_all("xml", F.lit(rest), F.lit(1)), F.regexp_extract_all("xml", F.lit(rest), F.lit(2))
+    made = F.zip_with(names, texts, lambda n, t: F.when(t != "", F.concat(F.lit("<dc:"), n, F.lit(">"), t, F.lit("</dc:"), n, F.lit(">"))))
+    identifier = F.nullif(F.regexp_extract("xml", element.format("identifier"), 2), F.lit(""))
+    return package.select("doc_id", identifier.alias("identifier"), F.array_join(F.array_compact(made), "").alias("metadata"))
+
+
 def rebuilt(entries: DataFrame, headers: DataFrame, profile: rebuild.Profile = rebuild.Profile()) -> DataFrame:
     """(doc_id, name, media_type, content): new chapters, navigation and package; images, styles and fonts stay.
 
@@ -164,7 +180,8 @@ def rebuilt(entries: DataFrame, headers: DataFrame, profile: rebuild.Profile = r
     s = done.groupBy("doc_id", "section_no", "navigation_id", "filename").agg(F.first("section_title", ignorenulls=True).alias("title"), F.array_join(parts, "\n").alias("inner"))
     s = s.withColumn("title", F.coalesce("title", F.lit("Front matter"))).withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no")))
     bodies = s.select("doc_id", "filename", F.concat(F.lit('<section id="section-'), "navigation_id", F.lit('">'), "inner", F.lit("</section>")).alias("body"))
-    docs = metadata.resolve(headers.filter("error is null").select("doc_id", "title", "author", "language"), fallback="Repaired publication").withColumn("identifier", F.lit(None).cast("string"))
+    docs = metadata.resolve(headers.filter("error is null").select("doc_id", "title", "author", "language"), fallback="Repaired publication")
+    docs = docs.join(kept_metadata(entries, headers), "doc_id", "left")
     kept = entries.filter(F.col("name").rlike(r"(?i)\.(png|jpe?g|gif|svg|webp|css|ttf|otf|woff2?)$")).select("doc_id", "name", "content")
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
     kept = kept.withColumn("media_type", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair]), suffix), F.lit("application/octet-stream")))

@@ -75,13 +75,14 @@ def nested(entries: DataFrame) -> DataFrame:
 def resources(docs: DataFrame, sections: DataFrame, bodies: DataFrame | None, modified: str = "2000-01-01T00:00:00Z", navigation: DataFrame | None = None, pages: DataFrame | None = None, extras: DataFrame | None = None, fixed: bool = False) -> DataFrame:
     """(doc_id, name, media_type, content) of EPUB 3 publications, the archive's fixed parts included.
 
-    docs (doc_id, title, author, language, identifier); modified is a parameter, so that equal
+    docs (doc_id, title, author, language, identifier, and perhaps metadata, further elements of the
+    package); modified is a parameter, so that equal
     inputs make equal archives. navigation (doc_id, entry_no, depth, title, href): a tree in reading
     order, else the sections; pages (doc_id, page_no, label, href): the printed pages; extras
     (doc_id, filename, media_type, properties): further files for the manifest, which the caller
     adds; fixed: pages of fixed layout. Without bodies, the caller adds the sections' files too.
     """
-    meta = docs.select("doc_id", F.coalesce("title", F.lit("Untitled")).alias("book"), "author", F.coalesce("language", F.lit("und")).alias("language"), F.coalesce("identifier", F.concat(F.lit("urn:uuid:"), uuid_of(F.col("doc_id").cast("string")))).alias("identifier"))
+    meta = docs.select("doc_id", F.coalesce("title", F.lit("Untitled")).alias("book"), "author", F.coalesce("language", F.lit("und")).alias("language"), F.coalesce("identifier", F.concat(F.lit("urn:uuid:"), uuid_of(F.col("doc_id").cast("string")))).alias("identifier"), F.coalesce(F.col("metadata") if "metadata" in docs.columns else F.lit(""), F.lit("")).alias("more_metadata"))
     items = _listed("section_no", F.concat(F.lit('<item id="'), "navigation_id", F.lit('" href="'), escape_xml(F.col("filename")), F.lit('" media-type="application/xhtml+xml"/>')))
     spine = _listed("section_no", F.concat(F.lit('<itemref idref="'), "navigation_id", F.lit('"/>')))
     d = meta.join(sections.groupBy("doc_id").agg(items.alias("items"), spine.alias("spine")), "doc_id").join(nested(flat_navigation(sections) if navigation is None else navigation), "doc_id")
@@ -103,7 +104,7 @@ def resources(docs: DataFrame, sections: DataFrame, bodies: DataFrame | None, mo
     layout = "".join(f'<meta property="rendition:{k}">{v}</meta>' for k, v in (("layout", "pre-paginated"), ("orientation", "auto"), ("spread", "auto"))) if fixed else ""
     opf = F.concat(
         F.lit(HEAD + '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="book-id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="book-id">'), escape_xml(F.col("identifier")),
-        F.lit("</dc:identifier><dc:title>"), escape_xml(F.col("book")), F.lit("</dc:title><dc:language>"), escape_xml(F.col("language")), F.lit("</dc:language>"), creator,
+        F.lit("</dc:identifier><dc:title>"), escape_xml(F.col("book")), F.lit("</dc:title><dc:language>"), escape_xml(F.col("language")), F.lit("</dc:language>"), creator, "more_metadata",
         F.lit(f'<meta property="dcterms:modified">{modified}</meta>{layout}</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="css" href="styles/book.css" media-type="text/css"/>'),
         "items", F.coalesce("more", F.lit("")), F.lit('</manifest><spine toc="ncx">'), "spine", F.lit("</spine></package>"),
     )

@@ -435,6 +435,16 @@ def word_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyphens.fix_words(d, fixes, ["doc_id", "line_no"]).select("doc_id", "line_no", F.md5("text").alias("text_md5"), "corrections")
 
 
+@query(O.query("SELECT doc_id, line_no, md5(text) AS text_md5, len(list_filter(string_split(text, ' '), lambda w: contains(w, 'тх')))::INTEGER AS corrections FROM russian", O.LINES, _RUSSIAN))
+def sequence_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in Cyrillic letters, two letters taken for one, repaired by the corpus' own words."""
+    from quirefold.operators import hyphens
+
+    d = _russian(spark, sf_dir)
+    got = hyphens.fix_sequences(d.withColumn("text", F.replace("text", F.lit("тх"), F.lit("щ"))), (("ъ", "ь"), ("щ", "тх")), _lexicon(d), ["doc_id", "line_no"])
+    return got.select("doc_id", "line_no", F.md5("text").alias("text_md5"), "corrections")
+
+
 _BULLET = r"'^\s*[•●▪■◦‣·*]\s+(.+)$'"
 
 

@@ -121,7 +121,10 @@ def archive(entries: list[tuple[str, bytes]]) -> bytes:
 
 
 def pack(resources: DataFrame) -> DataFrame:
-    """(doc_id, content) of resources (doc_id, name, content): one archive per document."""
+    """(doc_id, content) of resources (doc_id, name, content): one archive per document.
+
+    An archive is made in one piece, so a worker must hold a publication's files twice over.
+    """
     kind = resources.schema["doc_id"].dataType.simpleString()
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
