@@ -4,7 +4,7 @@ Every step is a window over a document's lines, statistics of documents and page
 one shuffle by doc_id serves them all and nothing is joined. One rule is truly sequential: whether
 a line continues a chapter heading depends on the heading as merged so far. Documents that have a
 labelled heading (or one that ends in a soft hyphen) go through a fold in grouped pandas; all
-others stay in the plan. The two parts read the same shuffle.
+others stay in the plan. Where the two parts meet again, lines shuffle once more.
 """
 
 from __future__ import annotations

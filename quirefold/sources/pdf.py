@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from quirefold.errors import PageReadError
 
-SPACE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
+SPACE = b"\0\t\n\f\r "
 _TOKEN = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)$")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}

@@ -229,3 +229,16 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "A TITLE HERE\n\ntext")], "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
     stream_outlines(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quirefold import scratch
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(applicationId="none", master="yarn", getConf=lambda: nothing))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.folder(cluster)
+    rows = spark.createDataFrame([(1, None, ["a"])], "k int, `a.b` string, l array<string>")
+    assert scratch.keep(rows).collect() == rows.collect()
