@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import WordHashes, bounded_batches, chunks, components, ids_hint, join_facts, keep, mix, runs_of, shingles, tidied, utf8
 
 ROWS, BANDS = 5, 36
-#: What a block holds of a bucket at most, of its queries as of its members; one document may be larger.
-PART_ROWS, PART_BYTES = 500, 8 << 20
+PAIRS_A_PART = 500
+#: What a block holds of a bucket, of its queries as of its members: a quarter of it, between so many rows, and so many bytes at most; one document may be larger.
+PART_ROWS, MOST_ROWS, PART_BYTES = 500, 4000, 8 << 20
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -128,8 +129,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), f"a {kind}, b {kind}"))
+    # a hub's pairs meet copies of its set in parts, so that no hub is one task's
+    pairs = keep(pairs)
+    many = keep(pairs.groupBy("a").agg(F.expr(f"cast(count(*) div {PAIRS_A_PART} + 1 as int)").alias("parts")).filter("parts > 1"))
+    split = lambda rows: rows.join(ids_hint(many, few), "a", "left").fillna({"parts": 1})
+    few = many.count()
+    left = split(sets.select(F.col("id").alias("a"), F.col("items").alias("x"))).select("a", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    pairs = split(pairs).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    return keep(pairs.join(left, ["a", "part"]).join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), f"a {kind}, b {kind}"))
 
 
 def groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +184,7 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     parts = labelled.groupBy("band", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     largest = F.struct("rows", "items", -F.col("root"))
     mixed = parts.groupBy("band").agg(F.max_by("root", largest).alias("main"), F.sum("rows").alias("rows"), F.sum("items").alias("items"), F.max(largest).alias("of_main"), F.count("*").alias("roots"))
-    cut = lambda rows, items: F.greatest(F.ceil(rows / PART_ROWS), F.ceil(items * 8 / PART_BYTES), F.lit(1)).cast("int")
+    cut = lambda rows, items: F.greatest(F.ceil(rows / F.greatest(F.lit(PART_ROWS), F.least(F.lit(MOST_ROWS), rows / 4))), F.ceil(items * 8 / PART_BYTES), F.lit(1)).cast("int")
     mixed = mixed.filter("roots > 1").select("band", "main", cut(F.col("rows"), F.col("items")).alias("parts"), cut(F.col("rows") - F.col("of_main.rows"), F.col("items") - F.col("of_main.items")).alias("asking"))
     links = keep(links.union(_across(labelled.join(mixed, "band"), sets, percent)))
     roots = components(links)
