@@ -413,6 +413,7 @@ def edited_copies(rng, n, size=100, most=8):
 
 def test_a_large_group_of_near_copies_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PART_ROWS", 40)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_PART", 30)
     rows = edited_copies(random.Random(4), 250)
     got = {r.id: (r.n, r.root) for r in near_dedup.groups(docs(spark, rows), k=2).collect()}
     assert got == brute_groups(rows, 2, 80) and len({x for _, x in got.values()}) > 1
