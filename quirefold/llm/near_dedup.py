@@ -158,7 +158,7 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     reps = full.withColumnRenamed("id", "rep").join(names, ["rep", "same"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "n", "bands")
     keyed = keep(reps.select("id", "n", F.explode("bands").alias("band")), "zstd")
     buckets = keep(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
-    inside = keep(keyed.join(buckets, "band").select("band", "hub", "size", "id", "n"), "zstd")
+    inside = keep(join_facts(keyed, buckets, "band", "size", keyed.count()).select("band", "hub", "size", "id", "n"), "zstd")
     sizes = reps.select("id", "n")
     close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
@@ -185,8 +185,8 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     largest = F.struct("rows", "items", -F.col("root"))
     mixed = parts.groupBy("band").agg(F.max_by("root", largest).alias("main"), F.sum("rows").alias("rows"), F.sum("items").alias("items"), F.max(largest).alias("of_main"), F.count("*").alias("roots"))
     cut = lambda rows, items: F.greatest(F.ceil(rows / F.greatest(F.lit(PART_ROWS), F.least(F.lit(MOST_ROWS), rows / 4))), F.ceil(items * 8 / PART_BYTES), F.lit(1)).cast("int")
-    mixed = mixed.filter("roots > 1").select("band", "main", cut(F.col("rows"), F.col("items")).alias("parts"), cut(F.col("rows") - F.col("of_main.rows"), F.col("items") - F.col("of_main.items")).alias("asking"))
-    links = keep(links.union(_across(labelled.join(mixed, "band"), sets, percent)))
+    mixed = keep(mixed.filter("roots > 1").select("band", "main", "rows", cut(F.col("rows"), F.col("items")).alias("parts"), cut(F.col("rows") - F.col("of_main.rows"), F.col("items") - F.col("of_main.items")).alias("asking")))
+    links = keep(links.union(_across(join_facts(labelled, mixed, "band", "rows", labelled.count()), sets, percent)))
     roots = components(links)
 
     linked = roots.join(names.select(F.col("node").alias("root"), F.col("rep").alias("first")), "root").select(F.col("id").alias("node"), "first")
