@@ -157,16 +157,10 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     names = facts.filter("rep is not null").select("rep", "same", "node")
     reps = full.withColumnRenamed("id", "rep").join(names, ["rep", "same"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "n", "bands")
     keyed = keep(reps.select("id", "n", F.explode("bands").alias("band")), "zstd")
-    buckets = keep(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
-    inside = keep(join_facts(keyed, buckets, "band", "size", keyed.count()).select("band", "hub", "size", "id", "n"), "zstd")
-    sizes = reps.select("id", "n")
-    close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(na, "a").join(nb, "b").filter(close).drop("na", "nb")
-
-    star = keep(sized(inside.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))))
+    buckets = keep(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count("*").alias("size")).filter("size > 1"))
+    inside = keep(join_facts(keyed, buckets, "band", "size", keyed.count()).select("band", "hub", "hub_n", "size", "id", "n"), "zstd")
+    close = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    star = keep(inside.filter("id <> hub").filter(close).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")))
     wide = inside.filter("size > 2")
     ids = keep(star.select(F.col("a").alias("id")).union(star.select("b")).union(wide.select("id")).distinct())
     sets = full_sets(df, k, id_col, text_col, keep(names.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")))
