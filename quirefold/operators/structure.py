@@ -3,15 +3,19 @@
 Every step is a window over a document's lines, statistics of documents and pages included, so
 one shuffle by doc_id serves them all and nothing is joined. One rule is truly sequential: whether
 a line continues a chapter heading depends on the heading as merged so far. Documents that have a
-labelled heading (or one that ends in a soft hyphen) go through a fold in grouped pandas; all
-others stay in the plan. Where the two parts meet again, lines shuffle once more.
+labelled heading (or one that ends in a soft hyphen) go through a fold in a map over all lines, which
+passes on all others as they are, so that no window is computed twice. Behind it, lines shuffle once more.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +76,8 @@ _REPEATED = "__norm <> '' and __pages >= 3 and __seen >= __threshold"
 def _margins(lines: DataFrame) -> DataFrame:
     """The lines that aren't blank with top, bottom, and how often their text stands in margins: one of both zones of a page counts twice."""
     d = lines.filter(S.strip(F.col("text")) != "").withColumn("__pages", F.size(F.collect_set("page_number").over(_whole())))
-    d = margin_candidates(d).withColumn("__norm", S.normalize(F.col("text")))
+    # texts outside the margins are neither counted nor removed, so they need not be compared
+    d = margin_candidates(d).withColumn("__norm", F.when(F.col("top") | F.col("bottom"), S.normalize(F.col("text"))))
     same = Window.partitionBy("doc_id", "__norm")
     zone = lambda c: F.size(F.collect_set(F.when(F.col(c), F.col("page_number"))).over(same))
     return d.withColumn("__seen", (zone("top") + zone("bottom")).cast("long")).withColumn("__threshold", F.greatest(F.lit(2), F.floor(F.col("__pages") * 0.6 + 0.999)))
@@ -158,15 +163,45 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(__heading=heading, __upper=upper, __merged=merged)
 
 
+_MADE = ("__heading", "__upper", "__merged")
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with what _fold() makes of those with __odd, null for others. They come from a window over documents, so a document's lines are in one task and follow each other."""
+    held: list[pa.RecordBatch] = []
+
+    def made(b: pa.RecordBatch, more: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *_MADE])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            got = _fold(t.select(["page_number", "line_no", "text", "is_heading", "centered", "blank_before", "page_start", "page_end"]).to_pandas()).sort_index()
+            yield made(t.combine_chunks().to_batches()[0], [pa.array(got[n].tolist(), pa.bool_()) for n in _MADE])
+
+    for b in batches:
+        odd = pc.fill_null(b.column("__odd"), False)
+        plain = b.filter(pc.invert(odd))
+        if plain.num_rows:
+            yield made(plain, [pa.nulls(plain.num_rows, pa.bool_())] * 3)
+        b = b.filter(odd)
+        docs = b.column("doc_id").to_pylist()
+        bounds = [i for i, doc in enumerate(docs) if not i or doc != docs[i - 1]] + [len(docs)]
+        for at, end in pairwise(bounds):
+            if held and held[-1].column("doc_id")[0].as_py() != docs[at]:
+                yield from flush()
+            held.append(b.slice(at, end - at))
+    yield from flush()
+
+
 def kinds(lines: DataFrame, outlines: DataFrame | None = None, fold_all: bool = False) -> DataFrame:
     """lines with kind (heading, subtitle, paragraph), begins (a block) and the text that enters the block."""
     d = heading_flags(lines, outlines)
     text = S.strip(F.col("text"))
     special = F.col("is_heading") & (text.rlike(S.LABEL) | text.endswith(SOFT))
     d = d.withColumn("__odd", F.lit(True) if fold_all else F.max(special).over(_whole()))
-    folded = T.StructType([*d.schema.fields, *[T.StructField(n, T.BooleanType()) for n in ("__heading", "__upper", "__merged")]])
-    plain = d.filter(~F.col("__odd")).withColumns({n: F.lit(None).cast("boolean") for n in ("__heading", "__upper", "__merged")})
-    d = plain.unionByName(d.filter("__odd").groupBy("doc_id").applyInPandas(_fold, folded)).drop("__odd")
+    d = d.mapInArrow(_folded, T.StructType([*d.schema.fields, *[T.StructField(n, T.BooleanType()) for n in _MADE]])).drop("__odd")
     d = d.withColumn("is_heading", F.coalesce("__heading", "is_heading"))
     d = d.withColumn("__after", _true(F.lag("is_heading").over(doc_order())))
     same_page = F.lag("page_number").over(doc_order()) == F.col("page_number")
@@ -217,15 +252,17 @@ def in_sections(blocks: DataFrame) -> DataFrame:
     return d.withColumn("navigation_id", of).withColumn("filename", F.concat(F.lit("text/"), "navigation_id", F.lit(".xhtml"))).withColumn("is_preface", (F.col("chapters") > 0) & (F.col("chapter_no") == 0))
 
 
-def sections(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """(doc_id, section_no, filename, navigation_id, title, is_preface, blocks, characters); titles: (doc_id, title) of the books."""
-    d = in_sections(blocks)
+def sections(blocks: DataFrame, titles: DataFrame | None = None, **more: Column) -> DataFrame:
+    """(doc_id, section_no, filename, navigation_id, title, is_preface, blocks, characters); titles: (doc_id, title, …) of the books, whose other columns stay; more: further aggregates of a section's blocks."""
+    d = blocks if "chapter_no" in blocks.columns else in_sections(blocks)
     own = F.min_by("text", F.when(F.col("kind") == "heading", F.col("block_no")))
-    s = d.groupBy("doc_id", "chapter_no", "filename", "navigation_id", "is_preface").agg(own.alias("heading"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"))
+    s = d.groupBy("doc_id", "chapter_no", "filename", "navigation_id", "is_preface").agg(own.alias("heading"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"), *[c.alias(n) for n, c in more.items()])
+    rest = []
     if titles is not None:
-        s = s.join(titles.select("doc_id", F.col("title").alias("book")), "doc_id", "left")
+        rest = [c for c in titles.columns if c not in ("doc_id", "title")]
+        s = s.join(titles.select("doc_id", F.col("title").alias("__book"), *rest), "doc_id", "left")
     else:
-        s = s.withColumn("book", F.lit(None).cast("string"))
-    title = F.when(F.col("is_preface"), "Preface").when(F.col("chapter_no") == 0, F.coalesce("book", F.lit("Untitled"))).otherwise(F.col("heading"))
+        s = s.withColumn("__book", F.lit(None).cast("string"))
+    title = F.when(F.col("is_preface"), "Preface").when(F.col("chapter_no") == 0, F.coalesce("__book", F.lit("Untitled"))).otherwise(F.col("heading"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_no"))
-    return s.select("doc_id", number.alias("section_no"), "filename", "navigation_id", title.alias("title"), "is_preface", "blocks", "characters")
+    return s.select("doc_id", number.alias("section_no"), "filename", "navigation_id", title.alias("title"), "is_preface", "blocks", "characters", *rest, *more)

@@ -57,13 +57,17 @@ def publish_lines(lines: DataFrame, docs: DataFrame, options: Options = Options(
 
 
 def _publish_blocks(blocks: DataFrame, meta: DataFrame, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """As publish_lines(); images (doc_id, filename, media_type, properties, content) go into the archives."""
+    """As publish_lines(); images (doc_id, filename, media_type, properties, content) go into the archives.
+
+    Without images, archives are one plan over the blocks, which nothing else shares unless sections are asked for.
+    """
+    if images is None:
+        return epub.archives(render.publications(meta, blocks)), structure.sections(blocks, meta.select("doc_id", "title"))
     blocks, meta = keep(blocks), keep(meta)
-    sections = structure.sections(blocks, meta)
+    sections = structure.sections(blocks, meta.select("doc_id", "title"))
     bodies = render.section_bodies(structure.in_sections(blocks))
-    files = render.resources(meta, sections, bodies, extras=None if images is None else images.drop("content"))
-    if images is not None:
-        files = files.unionByName(images.select("doc_id", F.concat(F.lit("EPUB/"), "filename").alias("name"), "media_type", "content"))
+    files = render.resources(meta, sections, bodies, extras=images.drop("content"))
+    files = files.unionByName(images.select("doc_id", F.concat(F.lit("EPUB/"), "filename").alias("name"), "media_type", "content"))
     return epub.pack(files), sections
 
 

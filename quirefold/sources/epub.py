@@ -11,11 +11,13 @@ from __future__ import annotations
 import io
 import os
 import posixpath
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,18 +122,37 @@ def archive(entries: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+#: Bytes of archives that a batch of results holds before another begins.
+BATCH = 16 << 20
+
+
 def pack(resources: DataFrame) -> DataFrame:
     """(doc_id, content) of resources (doc_id, name, content): one archive per document.
 
     An archive is made in one piece, so a worker must hold a publication's files twice over.
     """
-    kind = resources.schema["doc_id"].dataType.simpleString()
+    return archives(resources.groupBy("doc_id").agg(F.collect_list(F.struct("name", "content")).alias("files")))
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("name")
-        return pd.DataFrame({"doc_id": t.doc_id[:1], "content": [archive([(n, bytes(c)) for n, c in zip(t.name, t.content, strict=True)])]})
 
-    return resources.select("doc_id", "name", "content").groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, content binary")
+def archives(publications: DataFrame) -> DataFrame:
+    """(doc_id, content) of publications (doc_id, files array<struct<name, content>>), many documents a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files, at, held, n = b.column("files"), 0, [], 0
+            flat = files.flatten()
+            names, contents = flat.field("name").to_pylist(), flat.field("content")
+            ends = [x - files.offsets[0].as_py() for x in files.offsets.to_pylist()]
+            for k in range(b.num_rows):
+                entries = sorted((names[i], contents[i].as_py()) for i in range(ends[k], ends[k + 1]))
+                held.append(archive(entries))
+                n += len(held[-1])
+                if n >= BATCH or k + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(held)), pa.array(held, pa.binary())], names=["doc_id", "content"])
+                    at, held, n = k + 1, [], 0
+
+    kind = publications.schema["doc_id"].dataType.simpleString()
+    return publications.select("doc_id", "files").mapInArrow(run, f"doc_id {kind}, content binary")
 
 
 def free_path(folder: str, stem: str, overwrite: bool, suffix: str = ".epub") -> str:
@@ -158,6 +179,28 @@ def save(path: str, content: bytes) -> str:
     return path
 
 
+_LINKED, _AWAY = re.compile(r'(?:src|href)="([^"#]+)'), re.compile(r"(data|mailto):|/")
+
+
+def missing_in(files: dict[str, bytes]) -> list[tuple[str, str]]:
+    """(name, target) as missing_targets() finds them, of the files of one archive."""
+    out = []
+    for name, content in files.items():
+        if re.search(r"\.x?html?$", name):
+            for target in _LINKED.findall(content.decode()):
+                if "://" in target or _AWAY.match(target):
+                    continue
+                path: list[str] = []
+                for p in (name.rpartition("/")[0] + "/" + target.partition("?")[0]).split("/"):
+                    if p == ".." and path and path[-1] != "..":
+                        path.pop()
+                    elif p not in ("", "."):
+                        path.append(p)
+                if "/".join(path) not in files:
+                    out.append((name, target))
+    return out
+
+
 def missing_targets(entries: DataFrame) -> DataFrame:
     """(doc_id, name, target) of images, stylesheets and links in XHTML entries whose file is not in the archive."""
     attribute = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r'(?:src|href)="([^"#]+)'), F.lit(1))

@@ -54,6 +54,19 @@ def test_fold_and_plan_agree(spark):
     assert kinds(spark, rows) == kinds(spark, rows, fold_all=True)
 
 
+def test_folds_of_documents_cut_by_batches(spark):
+    d = spark.createDataFrame([(i, "intro text\n\nCHAPTER 1\n\nTHE BEGINNING\n\n" + BODY if i % 2 else "A TITLE HERE\n\n" + BODY) for i in range(9)], "doc_id int, text string")
+    got = {}
+    for most in (10000, 2):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+        try:
+            got[most] = sorted((r.doc_id, r.block_no, r.kind, r.text) for r in structure.blocks(lines(d)).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[2] == got[10000] and got[2] == sorted((r.doc_id, r.block_no, r.kind, r.text) for r in structure.blocks(lines(d), fold_all=True).collect())
+    assert [k for i, _, k, _ in got[2] if i == 1] == ["paragraph", "heading", "paragraph"]
+
+
 def test_running_heads_and_page_numbers_go(spark):
     rows = []
     for p in (1, 2, 3):
